@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup, toxicity
+from textloom.llm import decontaminate, exact_dedup, line_dedup, ngram_join, packing, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _m in (exact_dedup, toxicity):
+for _m in (decontaminate, exact_dedup, line_dedup, ngram_join, packing, toxicity):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
