@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, **how) -> DataFrame:
     scores = host_scores(pages, **how)
     out = only(pages, "page_id", "url").select("page_id", host(F.col("url")).alias("host")).join(scores, "host", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return out.select("page_id", "host", zero("trust"), zero("distrust"), ~F.coalesce("blocked", F.lit(False)).alias("allowed"))
+    return out.select("page_id", "host", zero("trust"), zero("distrust"), (~F.coalesce("blocked", F.lit(False))).alias("allowed"))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
