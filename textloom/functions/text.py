@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A token by Unicode word boundaries, close to UAX 29: words with inner apostrophes or dots, numbers with inner marks, other signs one by one.
 TOKEN = (
@@ -69,7 +70,7 @@ def split_udf(sentences: bool, max_tokens: int | None, max_sentences: int | None
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def as_ascii(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Latin letters without accents and their like; what has no ASCII form is dropped."""
     special = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ð": "d", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."})
