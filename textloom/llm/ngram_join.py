@@ -12,8 +12,10 @@ much work there is; any order gives the same result.
 Candidates. Similar sets share an n-gram among the first |x| - ceil(t|x|) + 1 of
 each (prefix principle). These postings are packed by batch and hash range, so a
 shuffled record is an array and not a row. Documents with the same set are one
-entity from here on. A pair is named where its first shared n-gram is, as far as
-the heads of both sets tell it, so it isn't named once for each that they share.
+entity from here on. Each range counts the n-grams that two prefixes share in it,
+and the counts are summed by pair. What a pair may share beyond its prefixes is at
+most the longer rest, so pairs that can't reach the threshold with it go here,
+exactly, and only pairs that nearly reach it are left.
 
 Overlaps. The global order is cut vertically into ``fragments``. The sets of the
 entities that have a candidate are cut alike, each fragment counts the overlap of
@@ -45,11 +47,12 @@ from textloom.llm._common import maybe_broadcast, only, written
 
 N = 3
 THRESHOLD = 0.6
-HEAVY = 1 / 2000
+HEAVY = 1 / 4000
 FRAGMENTS = 8
 #: N-grams of a fragment's block that a task should hold.
 BLOCK_GRAMS = 3_000_000
-_HEAD = 3
+#: N-grams of prefixes that a task should hold.
+PART_GRAMS = 2_000_000
 U = np.uint64
 _BITS = 20
 
@@ -112,7 +115,7 @@ def _profile(n: int, heavy: float):
 
 
 def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
-    """Postings of the prefixes, packed: for each batch and part, n-grams, and by entity its hash, size, head and number of n-grams here.
+    """Postings of the prefixes, packed: for each batch and part, n-grams, and by entity its hash, size and number of n-grams here.
 
     ``heavy`` is sorted from the rarest to the most frequent.
     """
@@ -126,17 +129,17 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
         size = 0
 
         def packed() -> pa.RecordBatch:
-            g, e, z, head = (np.concatenate(x) for x in zip(*held))
+            g, e, z = (np.concatenate(x) for x in zip(*held))
             part = ((_words.mix(g) >> U(40)) % U(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
             o = np.argsort(part, kind="stable")
-            g, e, z, head, part = g[o], e[o], z[o], head[o], part[o]
+            g, e, z, part = g[o], e[o], z[o], part[o]
             new = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (part[1:] != part[:-1])]))
             count = np.diff(new, append=len(g))
             cut, cut_new = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(part[new], np.arange(parts + 1))
             some = np.flatnonzero(cut[1:] > cut[:-1])
             blob = lambda x, c, t: [x[c[p] : c[p + 1]].astype(t).tobytes() for p in some]
-            cols = [blob(g, cut, np.uint64), blob(e[new], cut_new, np.int64), blob(z[new], cut_new, np.int32), blob(count, cut_new, np.int32), blob(head[new], cut_new, np.uint32)]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(x, type=pa.binary()) for x in cols]], names=["part", "g", "e", "z", "c", "h"])
+            cols = [blob(g, cut, np.uint64), blob(e[new], cut_new, np.int64), blob(z[new], cut_new, np.int32), blob(count, cut_new, np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(x, type=pa.binary()) for x in cols]], names=["part", "g", "e", "z", "c"])
 
         for batch in batches:
             for _, _, s, sizes in _sets(batch.column(1), n):
@@ -161,15 +164,9 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
                 at = np.flatnonzero(~light & (lights < long)[row])
                 at = at[np.lexsort((rank[at], row[at]))]
                 begin = np.searchsorted(row[at], row[at])
-                place = np.zeros(len(s), dtype=np.int64)
-                place[light] = nth[light]
-                place[at] = lights[row[at]] + np.arange(len(at)) - begin + 1
-                keep[at] = place[at] <= long[row[at]]
+                keep[at] = lights[row[at]] + np.arange(len(at)) - begin + 1 <= long[row[at]]
                 k = np.flatnonzero(keep)
-                head = np.zeros((len(sizes), _HEAD), dtype=np.uint32)
-                h = k[place[k] <= _HEAD]
-                head[row[h], place[h] - 1] = (s[h] & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-                held.append((s[k], ent[row[k]], sizes[row[k]].astype(np.int32), head[row[k]]))
+                held.append((s[k], ent[row[k]], sizes[row[k]].astype(np.int32)))
                 size += len(k)
                 if size > 1_500_000:
                     yield packed()
@@ -180,18 +177,18 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
     return run
 
 
-_POSTINGS = "part int, g binary, e binary, z binary, c binary, h binary"
-_PAIRS = "a long, b long, za int, zb int"
+_POSTINGS = "part int, g binary, e binary, z binary, c binary"
+_PAIRS = "a long, b long, za int, zb int, n int"
 
 
-def _candidates(t: float):
-    """Of one part: pairs of entities that share a prefix n-gram here and may be similar by size."""
+def _shared(t: float):
+    """Of one part: pairs of entities that may be similar by size, and how many n-grams their prefixes share here."""
 
     def run(table: pa.Table) -> pa.Table:
         read = lambda c, d: np.concatenate([np.frombuffer(x, dtype=d) for x in table.column(c).to_pylist()])
-        g, e, z, c, h = read("g", np.uint64), read("e", np.int64), read("z", np.int32), read("c", np.int32), read("h", np.uint32).reshape(-1, _HEAD)
+        g, e, z, c = read("g", np.uint64), read("e", np.int64), read("z", np.int32), read("c", np.int32)
         ent, inverse, back = np.unique(e, return_index=True, return_inverse=True)
-        z, h = z[inverse], h[inverse]
+        z = z[inverse]
         who = np.repeat(back, c)
         o = np.lexsort((who, g))
         g, who = g[o], who[o]
@@ -199,49 +196,60 @@ def _candidates(t: float):
         g, who = g[new], who[new]
         begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         length = np.diff(begin, append=len(g))
-        found: list[np.ndarray] = [np.empty(0, dtype=np.uint64)]
+        least = need(z, t)
+        keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        found: list[np.ndarray] = []
         held = 0
 
-        def test(i: np.ndarray, j: np.ndarray, code: np.ndarray) -> None:
-            """i < j entities that share the n-gram with this head code."""
-            nonlocal found, held
-            ok = np.minimum(z[i], z[j]) >= need(np.maximum(z[i], z[j]), t)
-            i, j, code = i[ok], j[ok], code[ok]
-            shared = np.zeros(len(i), dtype=np.uint32)
-            for x in range(_HEAD - 1, -1, -1):
-                hit = (h[j] == h[i, x][:, None]).any(1) & (h[i, x] != 0)
-                shared = np.where(hit, h[i, x], shared)
-            ok = (shared == 0) | (shared == code)
+        def summed() -> None:
+            nonlocal keys, counts, found, held
+            if found:
+                new, n = np.unique(np.concatenate(found), return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                found, held = [], 0
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            """i < j entities that share an n-gram."""
+            nonlocal held
+            ok = (z[i] >= least[j]) & (z[j] >= least[i])
             found.append((i[ok].astype(np.uint64) << U(32)) | j[ok].astype(np.uint64))
             held += int(ok.sum())
-            if held > 4_000_000:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
+            if held > 3_000_000:
+                summed()
 
         for size in np.unique(length[length > 1]):
             runs = begin[length == size]
-            code = (g[runs] & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
             pairs = int(size) * (int(size) - 1) // 2
             if pairs <= 200_000:
                 x, y = np.triu_indices(size, 1)
                 step = max(1, 500_000 // pairs)
                 for r in range(0, len(runs), step):
                     at = runs[r : r + step, None]
-                    test(who[at + x].ravel(), who[at + y].ravel(), np.repeat(code[r : r + step], pairs))
+                    take(who[at + x].ravel(), who[at + y].ravel())
             else:
-                for at, one in zip(runs, code):
+                step = max(1, 500_000 // int(size))
+                for at in runs:
                     own = who[at : at + size]
-                    for x in range(0, size - 1, step := max(1, 500_000 // int(size))):
+                    for x in range(0, size - 1, step):
                         i, j = np.meshgrid(np.arange(x, min(size - 1, x + step)), np.arange(size), indexing="ij")
                         ok = i < j
-                        test(own[i[ok]], own[j[ok]], np.full(ok.sum(), one))
-        key = np.unique(np.concatenate(found))
-        i, j = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
-        return pa.table({"a": ent[i], "b": ent[j], "za": z[i], "zb": z[j]})
+                        take(own[i[ok]], own[j[ok]])
+        summed()
+        i, j = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
+        return pa.table({"a": ent[i], "b": ent[j], "za": z[i], "zb": z[j], "n": counts.astype(np.int32)})
 
     return run
 
 
+def _candidates(shared: DataFrame, t: float) -> DataFrame:
+    """a, b, za, zb of the pairs that may reach the threshold, by what their prefixes share and the longer rest."""
+    s = shared.groupBy("a", "b").agg(F.first("za").alias("za"), F.first("zb").alias("zb"), F.sum("n").alias("n"))
+    rest = F.ceil(F.greatest("za", "zb") * t - 1e-9) - 1
+    least = F.ceil((F.col("za") + F.col("zb")) * (t / (1 + t)) - 1e-9)
+    return s.where(F.col("n") + rest >= least).select("a", "b", "za", "zb")
+
+
 def _segments(n: int, fragments: int):
     """Whole sets cut by the global order, packed: for each batch, block and fragment, n-grams and by entity its hash and their number."""
 
@@ -312,16 +320,16 @@ def _overlaps(key, segments: pa.Table, pairs: pa.Table) -> pa.Table:
 
 def entities(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, heavy: float = HEAVY, fragments: int = FRAGMENTS, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, entity) of every document with words, and (a, b, jaccard) of the similar entities, a and b being different sets."""
-    spark = docs.sparkSession
     d = _texts(docs)
     profile = written(d.mapInArrow(_profile(n, heavy), "kind int, key long, set long, n long"), "profile")
     total = profile.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     counts = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, heavy * total)).orderBy("n", "key").toPandas()
     grams = counts["key"].to_numpy(dtype=np.int64).view(np.uint64)
     member = profile.where("kind = 0").select(F.col("key").alias("doc_id"), F.col("set").alias("entity"), F.col("n").alias("size"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    all_grams = profile.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    parts = max(12, -(-int(all_grams * (1 - threshold)) // PART_GRAMS))
     postings = d.mapInArrow(_prefixes(n, threshold, grams, parts), _POSTINGS)
-    pairs = written(postings.groupBy("part").applyInArrow(_candidates(threshold), _PAIRS).distinct(), "candidates")
+    pairs = written(_candidates(postings.groupBy("part").applyInArrow(_shared(threshold), _PAIRS), threshold), "candidates")
     # Blocks of pairs, by their first entity, so that what one task holds is bounded.
     ends = pairs.select(F.col("a").alias("entity"), F.col("za").alias("z")).unionByName(pairs.select(F.col("b").alias("entity"), F.col("zb").alias("z")))
     seen = written(ends.groupBy("entity").agg(F.max("z").alias("z")), "ends")
