@@ -1,7 +1,12 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library over the standard tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from textloom.plans import comparisons, corpora, networks, searches, statistics
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+for _m in (corpora, searches, statistics, comparisons, networks):
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
+FLAGSHIP = "count_query"

@@ -85,6 +85,10 @@ def merge(corpora: list[Corpus], keep_data: str = "intersect", keep_meta: str =
         common = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
         return reduce(lambda a, b: a.unionByName(b), [p.select(*common) for p in parts])
 
+    if if_duplicate == "rename":
+        # A tagged id is a string, so all are.
+        named = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
+        corpora = [Corpus(named(c.tokens), named(c.meta), c.model) for c in corpora]
     done: list[Corpus] = []
     seen: DataFrame | None = None
     for c in corpora:
