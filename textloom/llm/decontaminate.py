@@ -226,20 +226,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
+def _dirty(items: Items, seed: np.ndarray, threshold: float):
+    """A pandas UDF: whether a lower-case text holds a copy of an item."""
+
+    @F.pandas_udf("boolean")
+    def dirty(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(items, seed, threshold)
+        for texts in batches:
+            flag = np.zeros(len(texts), dtype=bool)
+            flag[[r for r, _, _ in m.rows(pa.array(texts, type=pa.string()))]] = True
+            yield pd.Series(flag)
+
+    return dirty
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, threshold: float = THRESHOLD, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """``docs`` without the documents that hold a copy of an item, all columns kept; no shuffle."""
     out = docs
     for items, seed in _matchers(only(docs, "doc_id", "text"), benchmark, n, rare, threshold, slice_items):
-
-        @F.pandas_udf("boolean")
-        def dirty(batches: Iterator[pd.Series], items=items, seed=seed) -> Iterator[pd.Series]:
-            m = Matcher(items, seed, threshold)
-            for texts in batches:
-                flag = np.zeros(len(texts), dtype=bool)
-                flag[[r for r, _, _ in m.rows(pa.array(texts, type=pa.string()))]] = True
-                yield pd.Series(flag)
-
-        out = out.where(~dirty(F.lower("text")))
+        out = out.where(~_dirty(items, seed, threshold)(F.lower("text")))
     return out
 
 
