@@ -6,7 +6,7 @@ import pytest
 from textloom.operators import aggregate, dictionary, greedy, kwic, query, search
 
 T3 = ["Renewable fuel is better than fossil fuels!", "A fueled debate about fuel", "Mark Rutte is simply Rutte"]
-CONTEXTS = [T3[0], T3[1], "Mark Rutte is simply Rutte. Bos, on the other hand, is not always Wouter", "Hey, A ~ symbol!! Can I match that?"]
+CONTEXTS = [T3[0], T3[1], "Mark Rutte is just Rutte. Bos, by contrast, is at most times not Wouter", "Hey, A ~ symbol!! Can I match that?"]
 
 
 def features(c, q, **how):
@@ -18,8 +18,8 @@ def test_features(corpus):
     wanted = {
         '"renewable fuel" AND better': ["Renewable", "fuel", "better"], "fuel": ["fuel", "fuel"], '"a fueled debate"': ["A", "fueled", "debate"], '"renewable fuels"~10': ["Renewable", "fuels"],
         '"renewable fuels"~2': [], "fuel fuels": ["fuel", "fuels", "fuel"], "fuel*": ["fuel", "fuels", "fueled", "fuel"], "fue?s": ["fuels"], "Rutte~s": ["Rutte", "Rutte"], "rutte~s": [],
-        "fuel* AND (renewable green clean)": ["Renewable", "fuel"], "fuel* AND (renewable~g green~g clean~g)": ["fuel", "fuels"], "fuel* AND (renewable green clean)~g": ["fuel", "fuels"],
-        'fuel AND ("renewable fuel" OR "a debate"~3)~g': ["fuel", "fuel"], '"mark rutte"~10': ["Mark", "Rutte"],
+        "fuel* AND (renewable green clean)": ["Renewable", "fuel"], "fuel* AND (green~g renewable~g clean~g)": ["fuel", "fuels"], "fuel* AND (renewable green clean)~g": ["fuel", "fuels"],
+        'fuel AND ("a debate"~4 OR "renewable fuel")~g': ["fuel", "fuel"], '"mark rutte"~10': ["Mark", "Rutte"],
     }
     hits = search.search_features(c, list(wanted), codes=list(wanted)).orderBy("doc_id", "token_id").collect()
     for q, words in wanted.items():
@@ -85,7 +85,7 @@ def test_dictionaries(corpus):
 
 
 def test_spacing_of_signs(corpus):
-    c = corpus(["The good, the bad and the ugly, is nice : ) but not pretty :("], split_sentences=True)
+    c = corpus(["Some good, the bad and an ugly, is nice : ) but not pretty :("], split_sentences=True)
     c = dictionary.replace_dictionary(c, {":(": ": (", "the_bad": "the bad"})
     scores = [{"string": s, "sentiment": v} for s, v in [("good", 1), ("bad", -1), ("ugl*", -1), ("nice", 1), ("not pret*", -1), (":)", 1), (": (", -1)]]
     got = [r.sentiment for r in dictionary.code_dictionary(c, scores).tokens.orderBy("token_id").collect()]

@@ -32,7 +32,7 @@ class Corpus:
     meta: DataFrame
     model: str = "regex"
 
-    # -- description -------------------------------------------------------
+    # -- description
     @property
     def has_sentences(self) -> bool:
         return "sentence" in self.tokens.columns
@@ -91,7 +91,7 @@ class Corpus:
     def context_level(self, level: str) -> list[str]:
         return self.context(level)
 
-    # -- access ------------------------------------------------------------
+    # -- access
     def get(self, columns: list[str] | None = None, subset: Condition | None = None, doc_id: list | None = None, token_id: list | None = None) -> DataFrame:
         """Token rows, by condition or by keys."""
         t = self.tokens
@@ -133,7 +133,7 @@ class Corpus:
         t = t.withColumn("__hit", hit)
         return t.where(~F.col("__hit") if inverse else F.col("__hit")).select(*PROTECTED)
 
-    # -- change ------------------------------------------------------------
+    # -- change
     def set(self, column: str, value: Condition, subset: Condition | None = None) -> Corpus:
         """Assigns a column, where ``subset`` holds; elsewhere the old value or null stays."""
         if column == "doc_id":
@@ -207,7 +207,7 @@ class Corpus:
     def copy(self) -> Corpus:
         return self
 
-    # -- subsets -----------------------------------------------------------
+    # -- subsets
     def subset(self, subset: Condition | None = None, subset_meta: Condition | None = None, window: int | None = None) -> Corpus:
         """Keeps tokens, or documents, or both. Documents without a token left go.
 
@@ -245,7 +245,7 @@ class Corpus:
         t = self.tokens.join(f.select(column), column, "left_semi").select(*self.tokens.columns)
         return replace(self, tokens=t, meta=self.meta.join(t.select("doc_id").distinct(), "doc_id", "left_semi"))
 
-    # -- operators, which live in modules of their own -----------------------
+    # -- operators, which live in modules of their own
     def preprocess(self, column: str = "token", new_column: str = "feature", **how) -> Corpus:
         from textloom.operators import preprocessing
 

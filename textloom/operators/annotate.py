@@ -181,7 +181,7 @@ def clause_patterns() -> dict[str, Node]:
     }
 
 
-SAY = ("acknowledge", "add", "admit", "affirm", "announce", "argue", "ask", "assert", "believe", "claim", "comment", "conclude", "confirm", "declare", "deny", "emphasize", "explain", "insist", "mention", "note", "observe", "promise", "remark", "repeat", "reply", "report", "say", "state", "stress", "suggest", "tell", "think", "warn", "write")
+SAY = ("acknowledge", "add", "admit", "affirm", "announce", "argue", "ask", "assert", "believe", "claim", "comment", "conclude", "confirm", "declare", "deny", "emphasize", "explain", "insist", "mention", "note", "observe", "promise", "remark", "repeat", "reply", "report", "say", "state", "stress", "suggest", "warn", "think", "tell", "write")
 
 
 def quote_patterns(verbs: tuple[str, ...] = SAY) -> dict[str, Node]:

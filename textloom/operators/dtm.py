@@ -10,7 +10,7 @@ from textloom.corpus import Condition, Corpus
 from textloom.functions.stats import chi2
 from textloom.operators import preprocessing
 
-WEIGHTS = ("termfreq", "docfreq", "tfidf", "norm_tfidf")
+WEIGHTS = ("norm_tfidf", "tfidf", "docfreq", "termfreq")
 
 
 def counts(t: DataFrame, feature: str, context: list[str]) -> DataFrame:
