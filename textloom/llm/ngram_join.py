@@ -20,7 +20,12 @@ exactly, and only pairs that nearly reach it are left.
 Overlaps. The global order is cut vertically into ``fragments``. The sets of the
 entities that have a candidate are cut alike, each fragment counts the overlap of
 each candidate pair within it, separately, and the counts are summed by pair.
-Pairs are also cut into blocks of bounded size, so a task's share doesn't grow.
+
+Blocks. An entity's id begins with bits of its least n-gram, which near copies
+mostly share, and a pair's block is that of the lesser of its two ids. So the pairs
+of a group of copies are in few blocks, a set is sent to one or two of them, and
+a block's pairs are shuffled as numbers into a list of its entities, not as rows. A
+list has at most ``BLOCK_PAIRS`` pairs.
 
 Words are runs of ``a-z``, ``0-9`` and non-ASCII characters, lower case; a
 document of fewer words than ``n`` has one n-gram, of all its words. N-grams
@@ -49,8 +54,8 @@ N = 3
 THRESHOLD = 0.6
 HEAVY = 1 / 4000
 FRAGMENTS = 8
-#: N-grams of a fragment's block that a task should hold.
-BLOCK_GRAMS = 3_000_000
+#: Pairs of a list.
+BLOCK_PAIRS = 4_000_000
 #: N-grams of prefixes that a task should hold.
 PART_GRAMS = 2_000_000
 U = np.uint64
@@ -71,6 +76,23 @@ def _set_hash(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _words.mix(out + sizes.astype(np.uint64) * _words.MULT)
 
 
+_LEAST = U(44)
+
+
+def _entity(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ids of sets: 20 bits of the least n-gram, then 44 of the set's hash; sets are sorted."""
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    least = np.zeros(len(sizes), dtype=np.uint64)
+    least[sizes > 0] = s[first[sizes > 0]]
+    return ((least >> _LEAST) << _LEAST | _set_hash(s, sizes) >> U(20)).view(np.int64)
+
+
+def _block(a: np.ndarray, b: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each pair of ids."""
+    least = np.minimum(a.view(np.uint64), b.view(np.uint64)) >> _LEAST
+    return ((_words.mix(least) >> U(33)) % U(blocks)).astype(np.int64)
+
+
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b, h, counts in _words.words(column):
         g, row, _ = _words.ngrams(h, counts, n)
@@ -101,7 +123,7 @@ def _profile(n: int, heavy: float):
             ids = batch.column(0).to_numpy()
             for a, b, s, sizes in _sets(batch.column(1), n):
                 some = sizes > 0
-                yield out(0, ids[a:b][some], _set_hash(s, sizes).view(np.int64)[some], sizes[some])
+                yield out(0, ids[a:b][some], _entity(s, sizes)[some], sizes[some])
                 held.append(s)
                 docs, size, total = docs + b - a, size + len(s), total + b - a
                 if size > 4_000_000:
@@ -145,7 +167,7 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
             for _, _, s, sizes in _sets(batch.column(1), n):
                 if not len(s):
                     continue
-                ent = _set_hash(s, sizes).view(np.int64)
+                ent = _entity(s, sizes)
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 long = sizes - need(sizes, t) + 1
@@ -178,11 +200,18 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
 
 
 _POSTINGS = "part int, g binary, e binary, z binary, c binary"
-_PAIRS = "a long, b long, za int, zb int, n int"
+_SHARED = "q long, e binary, z binary, i binary, j binary, n binary"
+
+
+def _packed_pairs(ent: np.ndarray, z: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """The entities of pairs, their sizes, and the pairs as numbers into them."""
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    back = back.astype(np.uint32)
+    return ent[used].tobytes(), z[used].astype(np.int32).tobytes(), back[: len(i)].tobytes(), back[len(i) :].tobytes()
 
 
-def _shared(t: float):
-    """Of one part: pairs of entities that may be similar by size, and how many n-grams their prefixes share here."""
+def _shared(t: float, blocks: int):
+    """Of one part, by block: pairs of entities that may be similar by size, and how many n-grams their prefixes share here."""
 
     def run(table: pa.Table) -> pa.Table:
         read = lambda c, d: np.concatenate([np.frombuffer(x, dtype=d) for x in table.column(c).to_pylist()])
@@ -237,17 +266,47 @@ def _shared(t: float):
                         take(own[i[ok]], own[j[ok]])
         summed()
         i, j = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
-        return pa.table({"a": ent[i], "b": ent[j], "za": z[i], "zb": z[j], "n": counts.astype(np.int32)})
+        q = _block(ent[i], ent[j], blocks)
+        o = np.argsort(q, kind="stable")
+        i, j, q, n = i[o], j[o], q[o], counts[o].astype(np.uint32)
+        cut = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+        rows = [(int(q[x]), *_packed_pairs(ent, z, i[x:y], j[x:y]), n[x:y].tobytes()) for x, y in zip(cut, np.append(cut[1:], len(q)))]
+        return pa.table([pa.array([r[k] for r in rows], type=pa.binary() if k else pa.int64()) for k in range(6)], names=["q", "e", "z", "i", "j", "n"])
 
     return run
 
 
-def _candidates(shared: DataFrame, t: float) -> DataFrame:
-    """a, b, za, zb of the pairs that may reach the threshold, by what their prefixes share and the longer rest."""
-    s = shared.groupBy("a", "b").agg(F.first("za").alias("za"), F.first("zb").alias("zb"), F.sum("n").alias("n"))
-    rest = F.ceil(F.greatest("za", "zb") * t - 1e-9) - 1
-    least = F.ceil((F.col("za") + F.col("zb")) * (t / (1 + t)) - 1e-9)
-    return s.where(F.col("n") + rest >= least).select("a", "b", "za", "zb")
+_LISTS = "block long, e binary, z binary, i binary, j binary"
+
+
+def _candidates(t: float, most: int):
+    """Of one block: the pairs that may reach the threshold by what their prefixes share and the longer rest, in lists."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [[np.frombuffer(x, dtype=d) for x in table.column(c).to_pylist()] for c, d in (("e", np.int64), ("z", np.int32), ("i", np.uint32), ("j", np.uint32), ("n", np.uint32))]
+        e, z, n = np.concatenate(parts[0]), np.concatenate(parts[1]), np.concatenate(parts[4])
+        ent, where, back = np.unique(e, return_index=True, return_inverse=True)
+        z = z[where].astype(np.int64)
+        base = np.concatenate([[0], np.cumsum([len(x) for x in parts[0]])[:-1]])
+        i, j = (np.concatenate([back[b + x.astype(np.int64)] for b, x in zip(base, parts[k])]) for k in (2, 3))
+        keys, at = np.unique(i.astype(np.uint64) << U(32) | j.astype(np.uint64), return_inverse=True)
+        n = np.bincount(at, n, len(keys)).astype(np.int64)
+        i, j = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
+        rest = need(np.maximum(z[i], z[j]), t) - 1
+        ok = n + rest >= need(z[i] + z[j], t / (1 + t))
+        i, j = i[ok], j[ok]
+        rows = [((key[0].as_py() << 20) + c, *_packed_pairs(ent, z, i[x : x + most], j[x : x + most])) for c, x in enumerate(range(0, len(i), most))]
+        return pa.table([pa.array([r[k] for r in rows], type=pa.binary() if k else pa.int64()) for k in range(5)], names=["block", "e", "z", "i", "j"])
+
+    return run
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entities of each list."""
+    for batch in batches:
+        for block, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(e, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block, np.int64))], names=["entity", "block"])
 
 
 def _segments(n: int, fragments: int):
@@ -277,89 +336,103 @@ def _segments(n: int, fragments: int):
                             has = np.flatnonzero(count)
                             rows.append((int(block), f, s[k].tobytes(), ent[has].tobytes(), count[has].astype(np.int32).tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=y) for x, y in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["q", "f", "g", "e", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=y) for x, y in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "f", "g", "e", "c"])
 
     return run
 
 
-def _overlaps(key, segments: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The overlap within one fragment of each of the block's pairs."""
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    if not len(segments) or not len(pairs):
-        return empty
+def _overlaps(key, segments: pa.Table, lists: pa.Table) -> pa.Table:
+    """The overlap within one fragment of each pair of the list, in its order."""
+    if not len(segments) or not len(lists):
+        return pa.table({"block": pa.array([], pa.int64()), "n": pa.array([], pa.binary())})
     read = lambda c, d: np.concatenate([np.frombuffer(x, dtype=d) for x in segments.column(c).to_pylist()])
     g, e, c = read("g", np.uint64), read("e", np.int64), read("c", np.int32)
-    ent, at = np.unique(e, return_inverse=True)
     _, gram = np.unique(g, return_inverse=True)
-    order = np.argsort(at, kind="stable")  # an entity's n-grams together; each entity is sent once
     start = np.concatenate([[0], np.cumsum(c)[:-1]])
-    begin, size = np.zeros(len(ent), np.int64), np.zeros(len(ent), np.int64)
-    begin[at[order]], size[at[order]] = start[order], c[order]
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    find = lambda x: np.minimum(np.searchsorted(ent, x), len(ent) - 1)
-    i, j = find(a), find(b)
-    ok = (ent[i] == a) & (ent[j] == b)  # an entity may have nothing in this fragment
-    a, b, i, j = a[ok], b[ok], i[ok], j[ok]
-    o = np.argsort(i, kind="stable")
-    a, b, i, j = a[o], b[o], i[o], j[o]
-    n = np.zeros(len(a), dtype=np.int64)
+    own = np.frombuffer(lists.column("e")[0].as_py(), dtype=np.int64)
+    place = np.searchsorted(own, e)  # an entity may have nothing in this fragment; each is sent once
+    begin, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    begin[place], size[place] = start, c
+    i, j = (np.frombuffer(lists.column(x)[0].as_py(), dtype=np.uint32).astype(np.int64) for x in "ij")
+    n = np.zeros(len(i), dtype=np.uint32)
     mark = np.zeros(int(gram.max()) + 1, dtype=bool)
-    cut = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.empty(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))  # a list is sorted by its first entities
     for lo, hi in zip(cut, np.append(cut[1:], len(i))):
-        own = gram[begin[i[lo]] : begin[i[lo]] + size[i[lo]]]
-        mark[own] = True
+        of = gram[begin[i[lo]] : begin[i[lo]] + size[i[lo]]]
+        if not len(of):
+            continue
+        mark[of] = True
         for x in range(lo, hi, 2000):
             w = j[x : min(hi, x + 2000)]
-            length = size[w]
-            first = np.concatenate([[0], np.cumsum(length)[:-1]])
-            n[x : x + len(w)] = np.add.reduceat(mark[gram[np.repeat(begin[w] - first, length) + np.arange(length.sum())]].astype(np.int64), first)
-        mark[own] = False
-    some = n > 0
-    return pa.table({"a": a[some], "b": b[some], "n": n[some]})
+            some = np.flatnonzero(size[w])
+            length = size[w[some]]
+            first = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
+            if len(some):
+                n[x + some] = np.add.reduceat(mark[gram[np.repeat(begin[w[some]] - first, length) + np.arange(length.sum())]].astype(np.uint32), first)
+        mark[of] = False
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
+
+
+def _similar(t: float):
+    """Sums the fragments' counts of a list, and gives the pairs that reach the threshold."""
+
+    def run(key, counted: pa.Table, lists: pa.Table) -> pa.Table:
+        ent = np.frombuffer(lists.column("e")[0].as_py(), dtype=np.int64)
+        z = np.frombuffer(lists.column("z")[0].as_py(), dtype=np.int32).astype(np.int64)
+        i, j = (np.frombuffer(lists.column(x)[0].as_py(), dtype=np.uint32) for x in "ij")
+        n = np.zeros(len(i), dtype=np.int64)
+        for x in counted.column("n").to_pylist():
+            n += np.frombuffer(x, dtype=np.uint32)
+        union = z[i] + z[j] - n
+        ok = n >= union * (t - 1e-12)
+        return pa.table({"a": ent[i[ok]], "b": ent[j[ok]], "jaccard": n[ok] / union[ok]})
+
+    return run
 
 
-def entities(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, heavy: float = HEAVY, fragments: int = FRAGMENTS, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+def entities(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, heavy: float = HEAVY, fragments: int = FRAGMENTS, part_grams: int = PART_GRAMS, block_pairs: int = BLOCK_PAIRS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, entity) of every document with words, and (a, b, jaccard) of the similar entities, a and b being different sets."""
     d = _texts(docs)
     profile = written(d.mapInArrow(_profile(n, heavy), "kind int, key long, set long, n long"), "profile")
     total = profile.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     counts = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, heavy * total)).orderBy("n", "key").toPandas()
     grams = counts["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    member = profile.where("kind = 0").select(F.col("key").alias("doc_id"), F.col("set").alias("entity"), F.col("n").alias("size"))
+    member = profile.where("kind = 0").select(F.col("key").alias("doc_id"), F.col("set").alias("entity"))
     all_grams = profile.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    parts = max(12, -(-int(all_grams * (1 - threshold)) // PART_GRAMS))
+    parts = max(12, -(-int(all_grams * (1 - threshold)) // part_grams))
     postings = d.mapInArrow(_prefixes(n, threshold, grams, parts), _POSTINGS)
-    pairs = written(_candidates(postings.groupBy("part").applyInArrow(_shared(threshold), _PAIRS), threshold), "candidates")
-    # Blocks of pairs, by their first entity, so that what one task holds is bounded.
-    ends = pairs.select(F.col("a").alias("entity"), F.col("za").alias("z")).unionByName(pairs.select(F.col("b").alias("entity"), F.col("zb").alias("z")))
-    seen = written(ends.groupBy("entity").agg(F.max("z").alias("z")), "ends")
-    load, several = seen.agg(F.sum("z"), F.count("*")).first()
-    blocks = max(1, -(-(load or 0) // (fragments * block_grams)))
-    q = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")
-    sent = pairs.select(F.explode(F.array("a", "b")).alias("entity"), q.alias("q")).groupBy("entity").agg(F.sort_array(F.collect_set("q")).alias("qs"))
-    reps = member.join(maybe_broadcast(sent, several), "entity").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("qs").alias("qs"))
+    shared = postings.groupBy("part").applyInArrow(_shared(threshold, parts), _SHARED)
+    lists = written(shared.groupBy("q").applyInArrow(_candidates(threshold, block_pairs), _LISTS), "candidates")
+    ends = lists.select("block", "e").mapInArrow(_ends, "entity long, block long")
+    sent = written(ends.groupBy("entity").agg(F.sort_array(F.collect_set("block")).alias("blocks")), "ends")
+    several = sent.count()
+    reps = member.join(maybe_broadcast(sent, several), "entity").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("blocks").alias("blocks"))
     reps = written(reps, "reps")
-    text = d.join(maybe_broadcast(reps, several, 1_000_000), d["doc_id"] == reps["rep"]).select("entity", "text", "qs")
-    segments = text.mapInArrow(_segments(n, fragments), "q int, f int, g binary, e binary, c binary")
-    copies = pairs.select("a", "b", q.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("f"))
-    counted = segments.groupBy("q", "f").cogroup(copies.groupBy("q", "f")).applyInArrow(_overlaps, "a long, b long, n long")
-    summed = counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    z = pairs.groupBy("a", "b").agg(F.max("za").alias("za"), F.max("zb").alias("zb"))
-    out = summed.join(z, ["a", "b"]).select("a", "b", "n", (F.col("za") + F.col("zb") - F.col("n")).alias("union"))
-    return member.select("doc_id", "entity"), out.where(F.col("n") >= F.col("union") * (threshold - 1e-12)).select("a", "b", (F.col("n") / F.col("union")).alias("jaccard"))
+    text = d.join(maybe_broadcast(reps, several, 1_000_000), d["doc_id"] == reps["rep"]).select("entity", "text", "blocks")
+    segments = text.mapInArrow(_segments(n, fragments), "block long, f int, g binary, e binary, c binary")
+    each = lists.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    counted = segments.groupBy("block", "f").cogroup(each.groupBy("block", "f")).applyInArrow(_overlaps, "block long, n binary")
+    pairs = counted.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(_similar(threshold), "a long, b long, jaccard double")
+    return member, pairs
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **how) -> DataFrame:
     """doc_a < doc_b and their jaccard, rounded to 6 places, for every pair of documents that reaches the threshold."""
     member, pairs = entities(docs, n, threshold, **how)
-    lists = member.groupBy("entity").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    within = lists.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), F.col("ids").alias("ys"), F.lit(1.0).alias("jaccard"))
-    left = lists.select(F.col("entity").alias("a"), F.col("ids").alias("xs"))
-    right = lists.select(F.col("entity").alias("b"), F.col("ids").alias("ys"))
+    pairs = written(pairs, "pairs")
+    # A pair comes once, unless a doc_id stands for several sets; pairs of such ids alone are grouped.
+    member = member.groupBy("doc_id").agg(F.collect_set("entity").alias("es")).select(F.struct((F.size("es") > 1).alias("many"), F.col("doc_id").alias("id")).alias("doc"), F.explode("es").alias("entity"))
+    lists = member.groupBy("entity").agg(F.collect_list("doc").alias("docs"))
+    within = lists.where(F.size("docs") > 1).select(F.explode("docs").alias("x"), F.col("docs").alias("ys"), F.lit(1.0).alias("jaccard"))
+    within = within.select("x", F.explode("ys").alias("y"), "jaccard").where("x.id < y.id")
+    left = lists.select(F.col("entity").alias("a"), F.col("docs").alias("xs"))
+    right = lists.select(F.col("entity").alias("b"), F.col("docs").alias("ys"))
     across = pairs.join(left, "a").join(right, "b").select(F.explode("xs").alias("x"), "ys", "jaccard")
-    both = within.unionByName(across).select("x", F.explode("ys").alias("y"), "jaccard").where("x <> y")
-    both = both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    return both.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    across = across.select("x", F.explode("ys").alias("y"), "jaccard").where("x.id <> y.id")
+    both = within.unionByName(across)
+    both = both.select(F.least("x.id", "y.id").alias("doc_a"), F.greatest("x.id", "y.id").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"), (F.col("x.many") | F.col("y.many")).alias("many"))
+    again = both.where("many").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return both.where("not many").drop("many").unionByName(again)
 
 
 def components(edges: DataFrame) -> DataFrame:
