@@ -29,7 +29,7 @@ list has at most ``BLOCK_PAIRS`` pairs.
 
 Words are runs of ``a-z``, ``0-9`` and non-ASCII characters, lower case; a
 document of fewer words than ``n`` has one n-gram, of all its words. N-grams
-are told apart by 64-bit hashes.
+are told apart by 64-bit hashes, within a fragment by 40 bits of them.
 
 Defined results: null, empty and wordless texts are similar to nothing. Documents
 with a null doc_id are left out. Rows that repeat a doc_id are joined one by one,
@@ -57,7 +57,7 @@ FRAGMENTS = 8
 #: Pairs of a list.
 BLOCK_PAIRS = 4_000_000
 #: N-grams of prefixes that a task should hold.
-PART_GRAMS = 2_000_000
+PART_GRAMS = 1_500_000
 U = np.uint64
 _BITS = 20
 
@@ -244,7 +244,7 @@ def _shared(t: float, blocks: int):
             ok = (z[i] >= least[j]) & (z[j] >= least[i])
             found.append((i[ok].astype(np.uint64) << U(32)) | j[ok].astype(np.uint64))
             held += int(ok.sum())
-            if held > 3_000_000:
+            if held > 1_500_000:
                 summed()
 
         for size in np.unique(length[length > 1]):
@@ -309,6 +309,14 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block, np.int64))], names=["entity", "block"])
 
 
+#: Bytes by which an n-gram is told apart within its fragment.
+_BYTES = 5
+
+
+def _short(g: np.ndarray) -> bytes:
+    return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes()
+
+
 def _segments(n: int, fragments: int):
     """Whole sets cut by the global order, packed: for each batch, block and fragment, n-grams and by entity its hash and their number."""
 
@@ -320,6 +328,7 @@ def _segments(n: int, fragments: int):
                 if not len(s):
                     continue
                 ent = batch.column(0).slice(a, b - a).to_numpy()
+                right = _entity(s, sizes) == ent  # a doc_id may have other texts too
                 row = np.repeat(np.arange(b - a), sizes)
                 frag = np.minimum((s // width).astype(np.int64), fragments - 1) if width else np.zeros(len(s), np.int64)
                 own = blocks.slice(a, b - a)
@@ -329,12 +338,13 @@ def _segments(n: int, fragments: int):
                 for block in np.unique(q):
                     member = np.zeros(b - a, dtype=bool)
                     member[of[q == block]] = True
+                    member &= right
                     for f in range(fragments):
                         k = np.flatnonzero(member[row] & (frag == f))
                         if len(k):
                             count = np.bincount(row[k], minlength=b - a)
                             has = np.flatnonzero(count)
-                            rows.append((int(block), f, s[k].tobytes(), ent[has].tobytes(), count[has].astype(np.int32).tobytes()))
+                            rows.append((int(block), f, _short(s[k]), ent[has].tobytes(), count[has].astype(np.int32).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=y) for x, y in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "f", "g", "e", "c"])
 
@@ -346,8 +356,11 @@ def _overlaps(key, segments: pa.Table, lists: pa.Table) -> pa.Table:
     if not len(segments) or not len(lists):
         return pa.table({"block": pa.array([], pa.int64()), "n": pa.array([], pa.binary())})
     read = lambda c, d: np.concatenate([np.frombuffer(x, dtype=d) for x in segments.column(c).to_pylist()])
-    g, e, c = read("g", np.uint64), read("e", np.int64), read("c", np.int32)
-    _, gram = np.unique(g, return_inverse=True)
+    e, c = read("e", np.int64), read("c", np.int32)
+    g = np.zeros((int(c.sum()), 8), dtype=np.uint8)
+    g[:, :_BYTES] = read("g", np.uint8).reshape(-1, _BYTES)
+    _, gram = np.unique(g.view(np.uint64).ravel(), return_inverse=True)
+    del g
     start = np.concatenate([[0], np.cumsum(c)[:-1]])
     own = np.frombuffer(lists.column("e")[0].as_py(), dtype=np.int64)
     place = np.searchsorted(own, e)  # an entity may have nothing in this fragment; each is sent once
