@@ -163,7 +163,7 @@ def salvage(src: Source, begin: int, end: int, packed: bool) -> Iterator[tuple[i
                     headers, block, k = parse(lambda a, n: raw[a : a + n], k)
                     records.append((headers, block))
             else:
-                if at and src.read(at - 1, 1) != b"\n" or not _VERSION.match(src.read(at, 16)):
+                if not _VERSION.match(src.read(at, 16)):
                     raise Damaged("version line")
                 headers, block, after = parse(src.read, at)
                 records = [(headers, block)]
