@@ -22,10 +22,11 @@ entities that have a candidate are cut alike, each fragment counts the overlap o
 each candidate pair within it, separately, and the counts are summed by pair.
 
 Blocks. An entity's id begins with bits of its least n-gram, which near copies
-mostly share, and a pair's block is that of the lesser of its two ids. So the pairs
-of a group of copies are in few blocks, a set is sent to one or two of them, and
-a block's pairs are shuffled as numbers into a list of its entities, not as rows. A
-list has at most ``BLOCK_PAIRS`` pairs.
+mostly share, and a pair's block is that of the lesser of its two ids. A block's pairs
+are shuffled as numbers into a list of its entities, not as rows; a list has at most
+``BLOCK_PAIRS`` pairs. The candidates are then moved to the block of the least n-gram
+among their entities and all partners of these, so the pairs of a group of copies are
+in one block, or few, and a set is sent about once.
 
 Words are runs of ``a-z``, ``0-9`` and non-ASCII characters, lower case; a
 document of fewer words than ``n`` has one n-gram, of all its words. N-grams
@@ -276,37 +277,67 @@ def _shared(t: float, blocks: int):
     return run
 
 
-_LISTS = "block long, e binary, z binary, i binary, j binary"
+_LISTS = "block long, e binary, z binary, i binary, j binary, n binary"
+_BLOBS = ["e", "z", "i", "j", "n"]
+
+
+def _table(rows: list[tuple], first: str) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], type=pa.binary() if k else pa.int64()) for k in range(6)], names=[first, *_BLOBS])
 
 
 def _candidates(t: float, most: int):
     """Of one block: the pairs that may reach the threshold by what their prefixes share and the longer rest, in lists."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [[np.frombuffer(x, dtype=d) for x in table.column(c).to_pylist()] for c, d in (("e", np.int64), ("z", np.int32), ("i", np.uint32), ("j", np.uint32), ("n", np.uint32))]
-        e, z, n = np.concatenate(parts[0]), np.concatenate(parts[1]), np.concatenate(parts[4])
-        ent, where, back = np.unique(e, return_index=True, return_inverse=True)
-        z = z[where].astype(np.int64)
-        base = np.concatenate([[0], np.cumsum([len(x) for x in parts[0]])[:-1]])
-        i, j = (np.concatenate([back[b + x.astype(np.int64)] for b, x in zip(base, parts[k])]) for k in (2, 3))
-        keys, at = np.unique(i.astype(np.uint64) << U(32) | j.astype(np.uint64), return_inverse=True)
-        n = np.bincount(at, n, len(keys)).astype(np.int64)
+        cell = lambda c, r, d: np.frombuffer(table.column(c)[r].as_py(), dtype=d)
+        every = [cell("e", r, np.int64) for r in range(len(table))]
+        ent, where = np.unique(np.concatenate(every), return_index=True)
+        z = np.concatenate([cell("z", r, np.int32) for r in range(len(table))])[where].astype(np.int64)
+        keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for r in range(len(table)):
+            at = np.searchsorted(ent, every[r]).astype(np.uint64)
+            found.append((at[cell("i", r, np.uint32)] << U(32) | at[cell("j", r, np.uint32)], cell("n", r, np.uint32)))
+            held += len(found[-1][0])
+            if held > 1_000_000 or r == len(table) - 1:
+                keys, to = np.unique(np.concatenate([keys, *[k for k, _ in found]]), return_inverse=True)
+                counts = np.bincount(to, np.concatenate([counts, *[n for _, n in found]]), len(keys)).astype(np.int64)
+                found, held = [], 0
         i, j = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
         rest = need(np.maximum(z[i], z[j]), t) - 1
-        ok = n + rest >= need(z[i] + z[j], t / (1 + t))
-        i, j = i[ok], j[ok]
-        rows = [((key[0].as_py() << 20) + c, *_packed_pairs(ent, z, i[x : x + most], j[x : x + most])) for c, x in enumerate(range(0, len(i), most))]
-        return pa.table([pa.array([r[k] for r in rows], type=pa.binary() if k else pa.int64()) for k in range(5)], names=["block", "e", "z", "i", "j"])
+        ok = counts + rest >= need(z[i] + z[j], t / (1 + t))
+        i, j, n = i[ok], j[ok], counts[ok].astype(np.uint32)
+        return _table([((key[0].as_py() << 20) + c, *_packed_pairs(ent, z, i[x : x + most], j[x : x + most]), n[x : x + most].tobytes()) for c, x in enumerate(range(0, len(i), most))], "block")
 
     return run
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entities of each list."""
+    """The entities of each list, and the least n-gram among each and its partners."""
     for batch in batches:
-        for block, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(e, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block, np.int64))], names=["entity", "block"])
+        for row in batch.to_pylist():
+            e, i, j = np.frombuffer(row["e"], dtype=np.int64), np.frombuffer(row["i"], dtype=np.uint32), np.frombuffer(row["j"], dtype=np.uint32)
+            low = (e.view(np.uint64) >> _LEAST).astype(np.int64)
+            least = low.copy()
+            np.minimum.at(least, i, low[j])
+            np.minimum.at(least, j, low[i])
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), row["block"], np.int64)), pa.array(least)], names=["entity", "block", "least"])
+
+
+def _moved(blocks: int):
+    """A list's pairs by the blocks of the least of their entities' labels, so that all pairs of a group come together."""
+
+    def run(key: tuple[pa.Scalar, ...], lists: pa.Table, labels: pa.Table) -> pa.Table:
+        row = lists.to_pylist()[0]
+        e, z = np.frombuffer(row["e"], dtype=np.int64), np.frombuffer(row["z"], dtype=np.int32)
+        i, j, n = (np.frombuffer(row[c], dtype=np.uint32) for c in "ijn")
+        label = np.zeros(len(e), dtype=np.uint64)
+        label[np.searchsorted(e, labels.column("entity").to_numpy())] = labels.column("least").to_numpy().astype(np.uint64)
+        q = ((_words.mix(np.minimum(label[i], label[j])) >> U(33)) % U(blocks)).astype(np.int64)
+        return _table([(int(x), *_packed_pairs(e, z, i[q == x], j[q == x]), n[q == x].tobytes()) for x in np.unique(q)], "q")
+
+    return run
 
 
 #: Bytes by which an n-gram is told apart within its fragment.
@@ -416,7 +447,11 @@ def entities(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, heavy: f
     postings = d.mapInArrow(_prefixes(n, threshold, grams, parts), _POSTINGS)
     shared = postings.groupBy("part").applyInArrow(_shared(threshold, parts), _SHARED)
     lists = written(shared.groupBy("q").applyInArrow(_candidates(threshold, block_pairs), _LISTS), "candidates")
-    ends = lists.select("block", "e").mapInArrow(_ends, "entity long, block long")
+    ends = lists.select("block", "e", "i", "j").mapInArrow(_ends, "entity long, block long, least long")
+    labels = ends.groupBy("entity").agg(F.min("least").alias("least"), F.collect_set("block").alias("blocks")).select("entity", "least", F.explode("blocks").alias("block"))
+    moved = lists.groupBy("block").cogroup(labels.groupBy("block")).applyInArrow(_moved(parts), _SHARED)
+    lists = written(moved.groupBy("q").applyInArrow(_candidates(threshold, block_pairs), _LISTS), "lists")
+    ends = lists.select("block", "e", "i", "j").mapInArrow(_ends, "entity long, block long, least long")
     sent = written(ends.groupBy("entity").agg(F.sort_array(F.collect_set("block")).alias("blocks")), "ends")
     several = sent.count()
     reps = member.join(maybe_broadcast(sent, several), "entity").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("blocks").alias("blocks"))
