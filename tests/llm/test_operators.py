@@ -164,6 +164,34 @@ def test_decontamination(spark, messy, empty):
     assert decontaminate.decontaminate(messy, b).columns == messy.columns
 
 
+def edited_copies(rng, items, share):
+    """Each item with every word replaced by a new one with the probability ``share``."""
+    return [[f"new{rng.integers(10**9)}" if rng.random() < share else w for w in item] for item in items]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.25])
+@pytest.mark.parametrize("times", [1, 300])
+def test_decontamination_edited(spark, share, times):
+    rng = np.random.default_rng(11)
+    items = [[f"i{k}w{j}" for j in range(30)] for k in range(20)]
+    copies = edited_copies(rng, items, share)
+    planted = [copies[0]] * times + copies[1:]
+    rows = [(d, " ".join([f"p{x}" for x in rng.integers(0, 500, 20)] + (planted[d] if d < len(planted) else []) + [f"q{x}" for x in rng.integers(0, 500, 20)])) for d in range(1000)]
+    number = {w: np.uint64(i) for i, w in enumerate({w for x in items + copies for w in x})}
+    of = lambda words: np.array([number[w] for w in words])
+    want = set()
+    for d, copy in enumerate(planted):
+        k = max(0, d - times + 1)
+        whole = any(copy[j : j + decontaminate.N] == items[k][j : j + decontaminate.N] for j in range(31 - decontaminate.N))
+        if whole and decontaminate.align(of(items[k]), of(copy)) >= decontaminate.THRESHOLD:
+            want.add((d, k))
+    assert len(want) >= 0.8 * len(planted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == set(range(1000)) - {d for d, _ in want}
+
+
 def test_packing(spark, messy, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = packing.pack(docs, shard_items=60).collect()

@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. One pass counts, for each n-gram of the benchmark, the documents of the whole
-   corpus that hold it. Only counts of benchmark n-grams leave a task.
-2. An item's seeds are its rare n-grams: those in at most ``rare`` of the
-   documents, and in any case the rarer half of its n-grams, so that an item that
-   leaked into a large part of the corpus keeps its seeds.
-3. A second pass joins passages to items by their seeds, where the documents are
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. An item's seeds are all of its n-grams. None is left out for being frequent:
+   copies of an item make its n-grams frequent, and an edited copy holds only some
+   of them, so every one may be the last that finds it.
+2. One pass joins passages to items by their seeds, where the documents are
    read: the window around a seed, as long as the item and half as much again,
    is compared with the item. A window whose words, as a bag, couldn't reach the
    threshold is left; on the others Smith-Waterman aligns words (match 2,
    mismatch -1, gap -1). The score is the alignment's share of the item's best
-   possible one, so edited, shortened and paraphrased copies are found.
+   possible one, so edited, shortened and paraphrased copies are found. A copy
+   without ``n`` words in a row as they are in the item has no seed and isn't found.
 
 No text is shuffled. The seeds are what is broadcast: they grow with the
 benchmark, not with the corpus; a benchmark of more than ``slice_items`` items is
@@ -40,12 +39,12 @@ from textloom.llm import _words
 from textloom.llm._common import only
 
 N = 4
-#: Share of the documents up to which an n-gram is rare.
-RARE = 1e-4
 #: Share of an item's best possible alignment from which a document is contaminated.
 THRESHOLD = 0.5
 SLICE_ITEMS = 100_000
 _BITS = 22
+#: Bytes of windows whose scores a task remembers.
+_CACHE = 1 << 25
 
 
 class Items:
@@ -66,17 +65,6 @@ class Items:
                     at.append(p)
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
         self.gram, self.item, self.at = join(gram, np.uint64), join(item, np.int64), join(at, np.int64)
-        self.distinct = np.unique(self.gram)
-
-    def seeds(self, df: np.ndarray, limit: float) -> np.ndarray:
-        """Which of the occurrences (gram, item, at) are seeds, from the distinct n-grams' document counts."""
-        count = df[np.searchsorted(self.distinct, self.gram)] if len(self.gram) else np.empty(0, np.int64)
-        seed = count <= limit
-        for k in np.unique(self.item):
-            own = np.flatnonzero(self.item == k) if len(self.words) < 64 else np.arange(*np.searchsorted(self.item, [k, k + 1]))
-            order = own[np.argsort(count[own], kind="stable")]
-            seed[order[: (len(order) + 1) // 2]] = True
-        return seed
 
 
 class Finder:
@@ -113,15 +101,16 @@ def align(item: np.ndarray, window: np.ndarray) -> float:
 
 
 class Matcher:
-    def __init__(self, items: Items, seed: np.ndarray, threshold: float) -> None:
-        g, self.item, self.at = items.gram[seed], items.item[seed], items.at[seed]
-        order = np.argsort(g, kind="stable")
-        self.item, self.at, g = self.item[order], self.at[order], g[order]
+    def __init__(self, items: Items, threshold: float) -> None:
+        order = np.argsort(items.gram, kind="stable")
+        self.item, self.at, g = items.item[order], items.at[order], items.gram[order]
         self.items, self.threshold = items, threshold
         grams, self.begin = np.unique(g, return_index=True)
         self.end = np.append(self.begin[1:], len(g))
         self.finder = Finder(grams)
+        self.size = np.array([len(w) for w in items.words])
         self.cache: dict = {}
+        self.cached = 0
 
     def score(self, k: int, window: np.ndarray) -> float:
         item = self.items.words[k]
@@ -131,8 +120,10 @@ class Matcher:
         # No word of the item can match twice, so this bounds the alignment.
         most = np.isin(item, window).sum() / len(item)
         found = align(item, window) if most >= self.threshold else 0.0
-        if len(self.cache) > 20_000:
+        self.cached += window.nbytes
+        if len(self.cache) > 20_000 or self.cached > _CACHE:
             self.cache.clear()
+            self.cached = window.nbytes
         self.cache[key] = found
         return found
 
@@ -148,7 +139,7 @@ class Matcher:
             occ = np.repeat(self.begin[q] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
             p = np.repeat(p, times)
             r, k = row[p], self.item[occ]
-            size = np.array([len(w) for w in self.items.words])[k]
+            size = self.size[k]
             begin = at[p] - self.at[occ]
             lo, hi = np.maximum(begin - size // 4 - 1, first[r]), np.minimum(begin + size + size // 4 + 1, first[r + 1])
             order = np.lexsort((lo, k, r))
@@ -168,52 +159,25 @@ class Matcher:
                 yield a + x, self.items.ids[y], s
 
 
-def document_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """For each distinct n-gram of the items the number of documents that hold it, and the number of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(items.distinct)
-        total, rows = np.zeros(len(items.distinct), dtype=np.int64), 0
-        for batch in batches:
-            rows += len(batch)
-            for _, _, h, counts in _words.words(batch.column(0)):
-                g, row, _ = _words.ngrams(h, counts, items.n)
-                p, q = finder(g)
-                total += np.bincount(np.unique(np.stack([row[p], q], 1), axis=0)[:, 1], minlength=len(total)) if len(p) else 0
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], names=["gram", "n"])
-
-    counts = docs.select(F.lower("text").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(items.distinct), dtype=np.int64)
-    own = counts[counts["gram"] >= 0]
-    df[own["gram"].to_numpy()] = own["n"].to_numpy()
-    return df, int(counts.loc[counts["gram"] < 0, "n"].sum())
-
-
 def _slices(benchmark: DataFrame, n: int, slice_items: int) -> Iterator[Items]:
     b = only(benchmark, "item_id", "text").where("text is not null")
     parts = max(1, -(-b.count() // slice_items))
     for i in range(parts):
         own = b.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i) if parts > 1 else b
-        yield Items([(r["item_id"], r["text"]) for r in own.collect()], n)
-
-
-def _matchers(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, threshold: float, slice_items: int) -> Iterator[tuple[Items, np.ndarray]]:
-    for items in _slices(benchmark, n, slice_items):
+        items = Items([(r["item_id"], r["text"]) for r in own.collect()], n)
         if len(items.gram):
-            df, rows = document_counts(docs, items)
-            yield items, items.seeds(df, rare * rows)
+            yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, threshold: float = THRESHOLD, slice_items: int = SLICE_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """doc_id, item_id, score of each document that holds a copy, whole or edited, of an item."""
     schema = "doc_id long, item_id long, score double"
     d = only(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
     out = None
-    for items, seed in _matchers(d, benchmark, n, rare, threshold, slice_items):
+    for items in _slices(benchmark, n, slice_items):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, seed=seed) -> Iterator[pa.RecordBatch]:
-            m = Matcher(items, seed, threshold)
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            m = Matcher(items, threshold)
             for batch in batches:
                 found = list(m.rows(batch.column(1)))
                 ids = batch.column(0).take(pa.array([r for r, _, _ in found], type=pa.int64()))
@@ -226,12 +190,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _dirty(items: Items, seed: np.ndarray, threshold: float):
+def _dirty(items: Items, threshold: float):
     """A pandas UDF: whether a lower-case text holds a copy of an item."""
 
     @F.pandas_udf("boolean")
     def dirty(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = Matcher(items, seed, threshold)
+        m = Matcher(items, threshold)
         for texts in batches:
             flag = np.zeros(len(texts), dtype=bool)
             flag[[r for r, _, _ in m.rows(pa.array(texts, type=pa.string()))]] = True
@@ -240,11 +204,11 @@ def _dirty(items: Items, seed: np.ndarray, threshold: float):
     return dirty
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, threshold: float = THRESHOLD, slice_items: int = SLICE_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """``docs`` without the documents that hold a copy of an item, all columns kept; no shuffle."""
     out = docs
-    for items, seed in _matchers(only(docs, "doc_id", "text"), benchmark, n, rare, threshold, slice_items):
-        out = out.where(~_dirty(items, seed, threshold)(F.lower("text")))
+    for items in _slices(benchmark, n, slice_items):
+        out = out.where(~_dirty(items, threshold)(F.lower("text")))
     return out
 
 
