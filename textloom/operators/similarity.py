@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.corpus import Condition, Corpus, expr
@@ -21,7 +22,11 @@ def compare_documents(
     features of dst, and has both directions.
 
     The features are an inverted index that is joined with itself, with the group
-    as a key of the join, so only documents that share a feature meet.
+    as a key of the join, so only documents that share a feature meet. With a
+    ``min_similarity`` only pairs that share a feature of src's prefix meet: its
+    rarest features, without as many of the frequent ones as couldn't reach
+    ``min_similarity`` alone. That leaves out no pair (for cosine the shared feature
+    is in dst's prefix too, as both have one order).
     """
     if measure not in ("cosine", "overlap_pct"):
         raise ValueError("measure is 'cosine' or 'overlap_pct'")
@@ -37,8 +42,14 @@ def compare_documents(
 
     x, y = side(from_subset, "src", "vx", "tx"), side(to_subset, "dst", "vy", "ty")
     directed = measure == "overlap_pct" or from_subset is not None or to_subset is not None or date_col is not None
-    p = x.join(y, ["feature", *keys])
-    p = p.where("src <> dst") if directed else p.where("src < dst")
+    if min_similarity > 0:
+        head = _prefixes(m, measure, min_similarity)
+        a = x.join(head.withColumnRenamed("doc_id", "src"), ["src", "feature"], "left_semi").select("src", "feature", *keys)
+        b = (y.join(head.withColumnRenamed("doc_id", "dst"), ["dst", "feature"], "left_semi") if measure == "cosine" else y).select("dst", "feature", *keys)
+        pairs = a.join(b, ["feature", *keys]).where("src <> dst" if directed else "src < dst").select("src", "dst").distinct()
+        p = pairs.join(x, "src").join(y.drop(*keys), ["dst", "feature"])
+    else:
+        p = x.join(y, ["feature", *keys]).where("src <> dst" if directed else "src < dst")
     by = ["src", "dst"]
     if date_col:
         low, high = hour_window if isinstance(hour_window, tuple) else (-hour_window, hour_window)
@@ -57,6 +68,16 @@ def compare_documents(
     return p.where(F.col("weight") >= min_similarity).select("src", "dst", "weight", *(["hourdiff"] if date_col else []))
 
 
+def _prefixes(m: DataFrame, measure: str, least: float) -> DataFrame:
+    """doc_id, feature of each document's rarest features, without the frequent ones that weigh less than ``least`` in all."""
+    size = F.col("value") ** 2 if measure == "cosine" else F.col("value")
+    df = m.groupBy("feature").agg(F.count("*").alias("__df"))
+    by = W.partitionBy("doc_id").orderBy(F.desc("__df"), F.desc("feature")).rowsBetween(W.unboundedPreceding, 0)
+    s = m.join(df, "feature").select("doc_id", "feature", F.sum(size).over(by).alias("__rest"), F.sum(size).over(W.partitionBy("doc_id")).alias("__all"))
+    share = least**2 if measure == "cosine" else least
+    return s.where(F.col("__rest") >= F.lit(share * (1 - 1e-9)) * F.col("__all")).select("doc_id", "feature")
+
+
 def duplicates(
     corpus: Corpus, feature: str = "token", date_col: str | None = None, meta_cols: list[str] | None = None, hour_window: float = 24, min_docfreq: int = 2, max_docfreq_pct: float = 1.0,
     lowercase: bool = True, similarity: float = 1.0, keep: str = "first", weight: str = "norm_tfidf", measure: str = "cosine", ngrams: int = 1,

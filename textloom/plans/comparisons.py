@@ -37,12 +37,17 @@ def overlap_by_language(spark, sf):
     return rounded(similarity.compare_documents(c, meta_cols=["lang", "source"], measure="overlap_pct", weight="docfreq", min_similarity=1 / 3), "weight")
 
 
+def overlap_by_language_all(spark, sf):
+    """Documents of one language and source that share a third of their words, either way: over all words."""
+    return rounded(similarity.compare_documents(documents(spark, sf), meta_cols=["lang", "source"], measure="overlap_pct", weight="docfreq", min_similarity=1 / 3), "weight")
+
+
 def deduplicated(spark, sf):
     """Documents that stay if those with a cosine of 0.9 over words in 1 % of the documents or less go."""
     return similarity.deduplicate(documents(spark, sf), similarity=0.9, max_docfreq_pct=0.01).meta.select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (compare_corpora, compare_docfreq, compare_language, associations, benchmark_similarity, overlap_by_language, deduplicated)}
+QUERIES = {f.__name__: f for f in (compare_corpora, compare_docfreq, compare_language, associations, benchmark_similarity, overlap_by_language, overlap_by_language_all, deduplicated)}
 
 
 def _chi2(a: str, b: str, c: str, d: str) -> str:
