@@ -1,6 +1,8 @@
 """Queries over all words, which have no SQL, against brute force on a small table."""
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,3 +38,20 @@ def test_overlap(spark, table):
                 want[a, b] = round(share, 6)
     got = {(r.src, r.dst): r.weight for r in registry.QUERIES["overlap_by_language_all"](spark, folder).collect()}
     assert got == pytest.approx(want) and any(rows[a][1] == COPY for a, _ in got)
+
+
+def test_deduplicated(spark, table):
+    folder, rows = table
+    own = {d: Counter(words(t)) for d, t, _, _ in rows}
+    df = Counter(w for c in own.values() for w in c)
+    own = {d: {w: n for w, n in c.items() if df[w] >= 2} for d, c in own.items()}
+    n = sum(1 for c in own.values() if c)
+    vec = {d: {w: k / sum(c.values()) * math.log2(n / df[w]) for w, k in c.items()} for d, c in own.items()}
+    norm = {d: math.sqrt(sum(v * v for v in c.values())) for d, c in vec.items()}
+    gone = set()
+    for a in vec:
+        for b in vec:
+            if a < b and norm[a] and norm[b] and sum(v * vec[b].get(w, 0) for w, v in vec[a].items()) >= (0.9 - 1e-9) * norm[a] * norm[b]:
+                gone.add(b)
+    left = {r.doc_id for r in registry.QUERIES["deduplicated_all"](spark, folder).collect()}
+    assert left == set(own) - gone and sum(rows[d][1] == COPY for d in left) == 1

@@ -47,7 +47,12 @@ def deduplicated(spark, sf):
     return similarity.deduplicate(documents(spark, sf), similarity=0.9, max_docfreq_pct=0.01).meta.select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (compare_corpora, compare_docfreq, compare_language, associations, benchmark_similarity, overlap_by_language, overlap_by_language_all, deduplicated)}
+def deduplicated_all(spark, sf):
+    """Documents that stay if those with a cosine of 0.9 over all words that two documents share go."""
+    return similarity.deduplicate(documents(spark, sf), similarity=0.9).meta.select("doc_id", "lang")
+
+
+QUERIES = {f.__name__: f for f in (compare_corpora, compare_docfreq, compare_language, associations, benchmark_similarity, overlap_by_language, overlap_by_language_all, deduplicated, deduplicated_all)}
 
 
 def _chi2(a: str, b: str, c: str, d: str) -> str:
