@@ -16,7 +16,7 @@ def table(spark, tmp_path_factory):
     """The folder of a table of documents, and its rows: random texts, a large group of exact copies, texts that share a rare word only."""
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(rng.integers(3, 25))) if x < 60) or "w1" for _ in range(60)]
-    texts += [COPY] * 45 + [f"zzz common w1 w2 w3 own{k} w{k}" for k in range(4)]
+    texts += [COPY] * 45 + [f"zzz common w1 w2 w3 own{k} w{k}" for k in range(4)] + ["whst w1 w2 whst w5"]
     rows = [(d, t, ("en", "de")[d % 2], ("x", "y")[d % 3 == 0]) for d, t in enumerate(texts)]
     folder = tmp_path_factory.mktemp("whole")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
@@ -55,3 +55,55 @@ def test_deduplicated(spark, table):
                 gone.add(b)
     left = {r.doc_id for r in registry.QUERIES["deduplicated_all"](spark, folder).collect()}
     assert left == set(own) - gone and sum(rows[d][1] == COPY for d in left) == 1
+
+
+def window_edges(rows, size):
+    """Brute force: the positions of src that have dst within ``size`` positions."""
+    edges = Counter()
+    for _, t, _, _ in rows:
+        w = words(t)
+        for i, x in enumerate(w):
+            edges.update((x, y) for y in set(w[max(0, i - size) : i + size + 1]) - {x})
+    return edges
+
+
+def test_windows(spark, table):
+    folder, rows = table
+    edges = window_edges(rows, 5)
+    run = lambda name: list(registry.QUERIES[name](spark, folder).collect())
+    assert {(r.src, r.dst): r.weight for r in run("network_window_all")} == edges
+    out, into = [[Counter(), Counter()] for _ in range(2)]
+    for (x, y), n in edges.items():
+        for side, v in ((out, x), (into, y)):
+            side[0][v] += n
+            side[1][v] += 1
+    alpha = {e: min((1 - n / s[v]) ** (k[v] - 1) for (s, k), v in ((out, e[0]), (into, e[1]))) for e, n in edges.items()}
+    assert {(r.src, r.dst): r.alpha for r in run("network_backbone_all")} == pytest.approx({e: a for e, a in alpha.items() if a < 0.05}, abs=1e-6)
+    edges = window_edges(rows, 2)
+    near = sorted((-n, y) for (x, y), n in edges.items() if x == "whst")[:10]
+    names = {"whst"} | {y for _, y in near}
+    assert {(r.src, r.dst): r.weight for r in run("network_ego_all")} == {e: n for e, n in edges.items() if set(e) <= names}
+
+
+def test_contexts(spark, table):
+    folder, rows = table
+    own = [Counter(words(t)) for _, t, _, _ in rows]
+    vocab = sorted({w for c in own for w in c})
+    m = np.array([[c[w] for w in vocab] for c in own], dtype=float)
+    size = np.sqrt((m**2).sum(0))
+    has = (m > 0).astype(float)
+    both, n = has.T @ has, has.sum(0)
+    off = ~np.eye(len(vocab), dtype=bool)
+    met = (both > 0) & off
+    edges = lambda name: {(r.src, r.dst): r.weight for r in registry.QUERIES[name](spark, folder).collect()}
+    want = lambda w, keep: {(vocab[i], vocab[j]): w[i, j] for i, j in np.argwhere(keep & met)}
+    cosine = m.T @ m / np.outer(size, size)
+    assert edges("network_cosine_all") == pytest.approx(want(cosine, np.triu(cosine >= 0.2)), abs=1e-6)
+    share = both / n[:, None]
+    assert edges("network_conditional_all") == pytest.approx(want(share, share >= 0.5), abs=1e-6)
+    b, c = n[:, None] - both, n[None, :] - both
+    d = len(rows) - ((b + c) - both)
+    total, under = both + b + c + d, (both + c) * (b + d) * (both + b) * (c + d)
+    chi = np.where(under == 0, 0, total * (np.abs(both * d - b * c) - total / 2) ** 2 / np.where(under == 0, 1, under))
+    assert edges("network_chi2_all") == pytest.approx(want(chi, chi >= 100), abs=1e-3)
+    assert ("copied", "bound") in edges("network_conditional_all")
