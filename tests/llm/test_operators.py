@@ -276,6 +276,16 @@ def test_warc_odd(spark):
     assert [(r.offset, r.length) for r in g] == [(0, 1600)]
 
 
+def test_pii_seeds_without_mark(spark):
+    key, token = "sk-" + "abcdefghij" * 2, "ghp_" + "Abcdefghij" * 3
+    text = f"login 'password=correcthorsebattery', 12 {key}, {token}. password: Secret=short token=x 555 1234 end"
+    want = [("password=correcthorsebattery", "password"), ("12", None), (key, "access_key"), (token, "access_key"), ("555 1234", None)]
+    assert [(i, pii.seed_kind(i)) for _, i, _, _ in pii.mentions(text)] == want
+    assert all(text[a : a + len(i)] == i for a, i, _, _ in pii.mentions(text))
+    docs = spark.createDataFrame([(1, "my password=correcthorsebattery here"), (2, f"{key} and {token}"), (3, "a password of letters")], "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.identifier, r.kind, r.seed) for r in pii.find_pii(docs).collect()} == {(1, 3, "password=correcthorsebattery", "password", True), (2, 0, key, "access_key", True), (2, len(key) + 5, token, "access_key", True)}
+
+
 def graph_by_force(edges, seeds, rounds, support, least, unknown, accept):
     by = {}
     for p, i in edges:

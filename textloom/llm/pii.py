@@ -1,7 +1,8 @@
 """PII: contextual extraction, bootstrapped from seed entities.
 
-1. Mentions are the tokens with a digit or an ``@``; short groups of digits before
-   a mention are part of it (phone and card numbers with spaces). A mention's
+1. Mentions are the tokens with a digit or an ``@``, and those without that a
+   recogniser knows; short groups of digits before a mention with a digit or an
+   ``@`` are part of it (phone and card numbers with spaces). A mention's
    patterns are lexical: its shape (digits, letters and mixed runs by class and
    coarse length, other signs as they are), what stands before ``=`` or ``:``
    in it, the first letters of a mixed run, and the words left and right of it.
@@ -42,6 +43,8 @@ from textloom.llm._common import only, written
 ROUNDS, SUPPORT, LEAST, UNKNOWN, ACCEPT = 3, 3, 0.5, 0.05, 0.6
 
 _MARK = re.compile(r"[0-9@]")
+#: A mark, or what a seed without one has.
+_START = re.compile(r"[0-9@]|(?:AKIA|ASIA)[A-Z]|gh[pousr]_|sk-|(?i:password|passwd|pwd|secret|api_key|token)[=:]")
 _GROUP = re.compile(r"[+(]?[0-9]{1,4}\)?")
 _RUN = re.compile(r"[^\W_]+", re.UNICODE)
 _SPACE = re.compile(r"\s")
@@ -103,22 +106,30 @@ def patterns(identifier: str, left: str, right: str) -> list[str]:
     return out
 
 
+def _inner(token: str) -> str:
+    """A token without the signs around it."""
+    inner = token.strip(_EDGE)
+    return inner.rstrip(")" + _EDGE) if inner.endswith(")") and "(" not in inner else inner
+
+
 def mentions(text: str) -> list[tuple[int, str, str, str]]:
-    """(start, identifier, word to the left, word to the right) of every token with a digit or an @."""
-    spans: list[tuple[int, int]] = []
+    """(start, identifier, word to the left, word to the right) of every token with a digit or an @, or that is a seed."""
+    spans: list[tuple[int, int, bool]] = []
     at, n = 0, len(text)
-    while m := _MARK.search(text, at):
+    while m := _START.search(text, at):
         a = m.start()
         while a > at and not text[a - 1].isspace():
             a -= 1
         stop = _SPACE.search(text, m.end())
         b = stop.start() if stop else n
-        spans.append((a, b))
+        marked = _MARK.search(text, a, b) is not None
+        if marked or seed_kind(_inner(text[a:b])):
+            spans.append((a, b, marked))
         at = b
     merged: list[list[int]] = []
     open_ = False
-    for a, b in spans:
-        if open_ and a == merged[-1][1] + 1 and text[a - 1] == " ":
+    for a, b, marked in spans:
+        if open_ and marked and a == merged[-1][1] + 1 and text[a - 1] == " ":
             merged[-1][1] = b
         else:
             merged.append([a, b])
@@ -126,11 +137,8 @@ def mentions(text: str) -> list[tuple[int, str, str, str]]:
     out = []
     for a, b in merged:
         token = text[a:b]
-        inner = token.lstrip(_EDGE)
-        start = a + len(token) - len(inner)
-        inner = inner.rstrip(_EDGE)
-        if inner.endswith(")") and "(" not in inner:
-            inner = inner.rstrip(")" + _EDGE)
+        start = a + len(token) - len(token.lstrip(_EDGE))
+        inner = _inner(token)
         if inner:
             before, after = text[max(0, a - 60) : a].split(), text[b : b + 60].split()
             out.append((start, inner, before[-1].strip(_EDGE).lower() if before else "", after[0].strip(_EDGE).lower() if after else ""))
