@@ -286,6 +286,14 @@ def test_pii_seeds_without_mark(spark):
     assert {(r.doc_id, r.start, r.identifier, r.kind, r.seed) for r in pii.find_pii(docs).collect()} == {(1, 3, "password=correcthorsebattery", "password", True), (2, 0, key, "access_key", True), (2, len(key) + 5, token, "access_key", True)}
 
 
+def test_pii_long_chain(spark):
+    # Pattern k holds the identifiers of groups k and k + 1, and only group 0 are seeds.
+    edges = [(f"p{k}", f"i{g}-{j}") for k in range(7) for g in (k, k + 1) for j in range(3)]
+    seeds = [(f"i0-{j}", "email") for j in range(3)]
+    got = pii.score_graph(spark.createDataFrame(edges, "pattern string, identifier string"), spark.createDataFrame(seeds, "identifier string, kind string"))
+    assert {r.identifier for r in got.collect()} == {i for _, i in edges}
+
+
 def graph_by_force(edges, seeds, rounds, support, least, unknown, accept):
     by = {}
     for p, i in edges:

@@ -16,7 +16,8 @@
    score in a kind is 1 for a seed of the kind, else the noisy-or of its patterns
    with a confidence of ``least`` or more. Identifiers of ``accept`` or more count
    as known in the next round, so confident patterns find identifiers that no
-   recogniser knows, and these strengthen further patterns.
+   recogniser knows, and these strengthen further patterns. After the first three
+   rounds they go on until one knows no identifier that none before it knew.
 
 All documents are read once, whole; mentions and graph are written in the shared
 folder, and each round is two joins and two sums in Spark.
@@ -30,6 +31,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -157,12 +159,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_MENTIONS)
 
 
-def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = LEAST, unknown: float = UNKNOWN, accept: float = ACCEPT) -> DataFrame:
-    """identifier, kind, score of the known identifiers, from distinct (pattern, identifier) and the seeds (identifier, kind)."""
+def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, support: int = SUPPORT, least: float = LEAST, unknown: float = UNKNOWN, accept: float = ACCEPT) -> DataFrame:
+    """identifier, kind, score of the known identifiers, from distinct (pattern, identifier) and the seeds (identifier, kind).
+
+    Without ``rounds``: at least ``ROUNDS``, and until no identifier is new.
+    """
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     fixed = seeds.withColumn("score", F.lit(1.0))
-    known = fixed
-    for _ in range(rounds):
+    known, ever = fixed, fixed.select("identifier", "kind")
+    for k in itertools.count(1) if rounds is None else range(1, rounds + 1):
         by_kind = edges.join(known, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
         one = edges.join(known.select("identifier").distinct(), "identifier").groupBy("pattern").agg(F.count("*").alias("known"))
         whole = by_kind.groupBy("pattern").agg(F.sum("score").alias("all"))
@@ -172,6 +177,11 @@ def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, suppor
         new = edges.join(F.broadcast(conf) if conf.count() <= 100_000 else conf, "pattern").groupBy("identifier", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
         new = new.join(fixed.select("identifier"), "identifier", "left_anti").where(F.col("score") >= accept)
         known = written(fixed.unionByName(new), "known")
+        if rounds is None:
+            fresh = written(known.select("identifier", "kind").join(ever, ["identifier", "kind"], "left_anti"), "fresh")
+            if k >= ROUNDS and not fresh.limit(1).count():
+                break
+            ever = ever.unionByName(fresh)
     return known
 
 
