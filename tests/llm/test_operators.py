@@ -66,10 +66,14 @@ def test_ngram_join(messy, empty):
     assert {(r.doc_a, r.doc_b): r.jaccard for r in small} == want
     assert ngram_join.similar_pairs(empty).count() == 0
     left = ngram_join.one_of_each(messy)
-    assert left.columns == messy.columns and {r.doc_id for r in left.collect()} == {1, 3, 4, 5, None, 6, 8, 10, 11}
+    assert left.columns == messy.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 5, None, 6, 8, 10, 11}
+    assert [r.text for r in left.where("doc_id = 2").collect()] == ["a second text of the same id"]
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "f g h i j"), (3, "k l m n o"), (5, "f g h i j"), (4, "K l m n o.")]
+    kept = ngram_join.one_of_each(messy.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, "a b c d e"), (2, "f g h i j"), (3, "k l m n o")]
 
 
-def test_exact_dedup(messy, empty):
+def test_exact_dedup(spark, messy, empty):
     first = {}
     for d, t in MESSY:
         if d is not None and t is not None:
@@ -77,10 +81,13 @@ def test_exact_dedup(messy, empty):
     want = {(d, first[t]) for d, t in MESSY if t in first and d != first[t]}
     for counters in (1, 2, exact_dedup.COUNTERS):
         assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_duplicates(messy, counters).collect()} == want
-    kept = exact_dedup.survivors(messy)
-    assert kept.columns == messy.columns
-    assert Counter(r.text for r in kept.collect() if r.text is not None) == Counter(set(t for _, t in MESSY if t is not None))
-    assert exact_dedup.exact_duplicates(empty).count() == 0
+        kept = exact_dedup.survivors(messy, counters)
+        assert kept.columns == messy.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(d, t) for t, d in first.items()} | {(3, None)})
+    rows = [(1, "A", 1), (2, "A", 1), (2, "B", 1), (3, "C", 2), (3, "C", 1), (None, "D", 1), (None, "D", 2), (None, "C", 1)]
+    kept = exact_dedup.survivors(spark.createDataFrame(rows, "doc_id long, text string, keep_id int"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "D"), (0, "D"), (1, "A"), (2, "B"), (3, "C")]
+    assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.survivors(empty).count() == 0
 
 
 def test_misra_gries():
@@ -134,13 +141,29 @@ def test_toxicity(messy, empty):
     m = toxicity.Matcher()
     assert m.score("You ІDІ0T, what a $tup!d m​oron!")[1] == 3  # Cyrillic, digits, signs, an invisible character
     assert m.score("the trash can by the garbage truck, a guinea pig")[1] == 0 and m.score("trash, can you see")[1] == 1
+    assert [m.score(t)[1] for t in ("you idiot!", "moron!!!", "!idiot|", "stupid$$$ scum&&&", "¡idiota!", "sh!t")] == [1, 1, 1, 2, 1, 1]
     assert m.score("") == (0.0, 0, 0) and m.score(None) == (0.0, 0, 0)
+    stems = toxicity.Matcher({"idio*": 0.5, "idiot": 1, "grub*": 1.5}, ())
+    assert stems.score("idiot idiotic grub grubby gru")[:2] == (1 + 0.5 + 1.5 + 1.5, 4)  # one term a word, the heaviest
     assert {r.doc_id for r in toxicity.toxicity(messy).collect()} == {10}
     kept = toxicity.filter_toxic(messy)
     assert kept.columns == messy.columns and kept.count() == len(MESSY) - 1
     assert toxicity.toxicity(empty).count() == 0
 
 
+def test_toxic_terms_learned(spark, messy, empty):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(["gala", "mire", "tobu", "selo"], n), rng.choice(["nu", "ka", "pi", "ro", "da"], n))]
+    docs = [(d, " ".join([*words(25), *(f"zorg{x}" for x in rng.choice(["an", "el", "ibo"], 2 if d % 4 == 0 else 0)), *words(25)])) for d in range(200)]
+    docs += [(900 + d, "gala copied often with rareword inside it") for d in range(30)] + [(None, "zorgan"), (950, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0 or k >= 900), 9) for k, _ in docs if k is not None] + [(0, 0, 1), (None, 1, 1), (3, None, 1), (10**6, 1, 1)], "doc_id long, toxic int, quality int")
+    found = toxicity.learned(d, labels, lexicon={"x": 1})
+    assert set(found) == {"x", "zorg*"} and 0.5 <= found["zorg*"] <= 2  # copies of one document teach nothing
+    assert {r.doc_id for r in toxicity.toxicity(d, min_weight=1.0, lexicon=found).collect()} >= set(range(0, 200, 4))
+    assert toxicity.learned(d, labels.where("toxic = 0")) == toxicity.LEXICON == toxicity.learned(empty, labels) == toxicity.learned(messy, labels.where("false"))
+
+
 def test_decontamination(spark, messy, empty):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = lambda t: next(_words.words(__import__("pyarrow").array([t.lower()])))[2]

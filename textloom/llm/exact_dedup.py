@@ -5,7 +5,9 @@
 2. Misra-Gries summaries, one a partition, name every digest that has over
    1/``counters`` of the rows of some partition. A digest with over
    N/``counters`` of all N rows is always among them.
-3. An exact count verifies the candidates; those that are frequent indeed are
+3. An exact count, with map-side combining, verifies the candidates (over
+   ``CANDIDATES`` of them are not broadcast: then all digests are counted so);
+   those that are frequent indeed are
    the heavy hitters (fewer than ``counters`` digests, whatever the input), and
    the least doc_id of each is its winner.
 4. The winners are broadcast: their copies are named on the map side, without a
@@ -15,8 +17,10 @@
 Defined results: texts are equal if they are identical, empty texts among them.
 A null text equals nothing. The document with the least non-null doc_id stays;
 rows that repeat a doc_id with the same text are one document, so they are not
-named, and ``survivors`` keeps one of them. Rows with a null doc_id are copies if
-their text has a document with an id; else they all stay.
+named, and ``survivors`` keeps one of them; with another text they are another
+document, which goes or stays by its own text. Rows with a null doc_id are copies
+if their text has a document with an id; else they all stay. Extra columns are
+passed through by ``survivors``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import only, written
+from textloom.llm._common import maybe_broadcast, only, written
 
 COUNTERS = 4096
+#: Digests of 16 bytes that are broadcast to be counted.
+CANDIDATES = 250_000
 
 
 class MisraGries:
@@ -77,32 +83,42 @@ def digests(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.unhex(F.md5("text")).alias("digest"))
 
 
-def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Pairs (doc_id, keep_id): each document that is a copy, and the one that stays for it."""
+def _split(docs: DataFrame, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The digests, the heavy hitters (digest, keep_id), and of the others the rows whose digest has several (doc_id, digest, keep_id)."""
     table = written(digests(docs), "digests")
     n = table.count()
-    candidates = table.select("digest").mapInArrow(_summaries(counters), "digest binary").distinct()
-    heavy = (
-        table.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-        .where(F.col("n") > F.greatest(F.lit(2), F.lit(n) / counters)).select("digest", "keep_id")
-    )
+    candidates = written(table.select("digest").mapInArrow(_summaries(counters), "digest binary").distinct(), "candidates")
+    counted = table.join(F.broadcast(candidates), "digest", "left_semi") if candidates.count() <= CANDIDATES else table
+    heavy = counted.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(2), F.lit(n) / counters)).select("digest", "keep_id")
     heavy = written(heavy, "winners")  # under `counters` rows: each has over n / counters of the n documents
-    hot = table.join(F.broadcast(heavy), "digest").select("doc_id", "keep_id")
     rest = table.join(F.broadcast(heavy), "digest", "left_anti")
     keep = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("digest", "keep_id")
-    cold = rest.join(keep, "digest").select("doc_id", "keep_id")
-    copies = hot.unionByName(cold).where(F.col("keep_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keep_id"))))
+    return table, heavy, rest.join(keep, "digest").select("doc_id", "digest", "keep_id")
+
+
+_COPY = "keep_id is not null and (doc_id is null or doc_id <> keep_id)"
+
+
+def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """Pairs (doc_id, keep_id): each document that is a copy, and the one that stays for it."""
+    table, heavy, cold = _split(docs, counters)
+    hot = table.join(F.broadcast(heavy), "digest").select("doc_id", "keep_id")
+    copies = hot.unionByName(cold.select("doc_id", "keep_id")).where(_COPY)
     return copies.where(F.col("doc_id").isNotNull()).distinct().unionByName(copies.where(F.col("doc_id").isNull()))
 
 
 def survivors(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` with one row for each text, with all their columns."""
-    pairs = exact_duplicates(docs, counters).where("doc_id is not null").select(F.col("doc_id").alias("__copy"))
-    out = docs.join(pairs, docs["doc_id"] == pairs["__copy"], "left_anti")
-    with_id = out.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["doc_id", "text"])
-    texts = with_id.select(F.md5("text").alias("__digest"))
-    loose = out.where(F.col("text").isNotNull() & F.col("doc_id").isNull()).withColumn("__digest", F.md5("text")).join(texts, "__digest", "left_anti").drop("__digest")
-    return with_id.unionByName(loose).unionByName(out.where(F.col("text").isNull()))
+    """``docs`` with one row for each text, with all their columns; only rows that repeat a doc_id with its text are shuffled whole."""
+    table, heavy, cold = _split(docs, counters)
+    gone = written(cold.where(_COPY).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__copy")).distinct(), "copies")
+    again = table.where("doc_id is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(again.select(F.col("doc_id").alias("__again"), F.col("digest").alias("__twice")), "again")
+    out = docs.withColumn("__digest", F.unhex(F.md5("text")))
+    out = out.join(F.broadcast(heavy.select(F.col("digest").alias("__hot"), F.col("keep_id").alias("__keep"))), F.col("__digest") == F.col("__hot"), "left")
+    out = out.where(F.col("__keep").isNull() | F.coalesce(F.col("doc_id") == F.col("__keep"), F.lit(False))).drop("__hot", "__keep")
+    out = out.join(maybe_broadcast(gone, gone.count()), (F.col("__digest") == F.col("__copy")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    known, on = maybe_broadcast(again, again.count()), (F.col("__digest") == F.col("__twice")) & (F.col("doc_id") == F.col("__again"))
+    return out.join(known, on, "left_anti").unionByName(out.join(known, on, "left_semi").dropDuplicates(["doc_id", "__digest"])).drop("__digest")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
