@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet in the session's shared folder and read again as the next
 stage's documents. All stages but the last return the columns of ``documents``.
 
-1. toxicity: documents that the lexicon rejects go.
+1. toxicity: documents that the lexicon rejects go; it learns further terms by the labels.
 2. line dedup: later copies of line runs are cut out; a document of which nothing
    is left by that goes, as it was nothing but copies.
 3. n-gram Jaccard join: one document of each group of near copies stays.
@@ -25,7 +25,7 @@ from textloom.llm._common import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.filter_toxic(docs)
+    return toxicity.filter_toxic(docs, lexicon=toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
