@@ -15,13 +15,22 @@ A record that lies within another good one (a WARC file stored as a page, met by
 a range that began there) is dropped by its place. Within a file all this depends
 only on the bytes, not on how ranges are cut.
 
-Defined results: an empty file has no record and no gap; a file without any good
-record is one gap. A record without WARC-Target-URI or type has null there. A
-body may be empty or of any bytes. A member may hold one record, as the standard
-asks; more in one member are all read, at the member's offset. Paths that occur
-twice are read once. ``write_warc``: a null url has no WARC-Target-URI, a null
+A member may hold one record, as the standard asks; more in one member are all
+read, at the member's offset. If one of them fails a check, or the member is
+damaged or cut, the search goes on at the next version line among the bytes that
+could be inflated, and the good ones are recovered with the member's offset and
+length 0, as the member's own bytes are quarantined.
+
+A header is read while its lines are lines of a header, and a block only if a
+record's end is found where Content-Length says, so a damaged length or header
+reads little. A task holds one record, or one member's records, whole.
+
+Defined results: an empty file, a folder without files and an empty table have no
+record and no gap; a file without any good record is one gap. A record without
+WARC-Target-URI or type has null there. A body may be empty or of any bytes. Paths
+that occur twice are read once. ``write_warc``: a null url has no WARC-Target-URI, a null
 body is empty, repeated rows are records of their own, extra columns are ignored,
-and an empty table writes no file.
+and an empty table makes a folder without files.
 """
 
 from __future__ import annotations
@@ -42,6 +51,8 @@ from pyspark.sql import functions as F
 from textloom.llm._common import only, shared_dir, written
 
 RANGE = 32 << 20
+#: Tasks that read ranges, at most; beyond it a task reads several.
+TASKS = 20_000
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 _BUFFER = 1 << 16
@@ -81,48 +92,54 @@ class Damaged(Exception):
     """A check failed; the message names it."""
 
 
-def inflate(src: Source, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends. A start that doesn't inflate to a version line is given up at once."""
+def inflate(src: Source, at: int) -> tuple[bytes, int, str | None]:
+    """The bytes of the member at ``at``, where it ends, and what is wrong with it. A start that doesn't inflate to a version line is given up at once."""
     d = zlib.decompressobj(31)
     out: list[bytes] = []
     began = False
-    while True:
+    wrong = None
+    while not wrong and not d.eof:
         part = src.read(at, _BUFFER)
-        if not part:
-            raise Damaged("truncated member")
+        before = d.copy()
         try:
-            got = d.decompress(part)
+            out.append(d.decompress(part))
         except zlib.error as e:
-            raise Damaged("member checksum" if "check" in str(e) else "member data") from None
-        out.append(got)
+            wrong = "member checksum" if "check" in str(e) else "member data"
+            try:
+                for k in range(0, len(part), 64):  # what there is before the damage
+                    out.append(before.decompress(part[k : k + 64]))
+            except zlib.error:
+                pass
+        if not part:
+            wrong = "truncated member"
         if not began:
             head = b"".join(out)[:5]
-            if len(head) == 5:
-                if head != b"WARC/":
-                    raise Damaged("no version line in member")
-                began = True
+            if len(head) == 5 and head != b"WARC/" or wrong and len(head) < 5:
+                raise Damaged(wrong or "no version line in member")
+            began = len(head) == 5
         at += len(part) - len(d.unused_data)
-        if d.eof:
-            return b"".join(out), at
+    return b"".join(out), at, wrong
 
 
 def parse(data: Callable[[int, int], bytes], at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers and block of the record at ``at``, and where it ends."""
-    head = b""
-    size = 4096
+    size, checked = 4096, 0
     while True:
         head = data(at, size)
+        if not _VERSION.match(head):
+            raise Damaged("version line")
         m = re.search(rb"\r?\n\r?\n", head)
-        if m or len(head) < size or size >= 1 << 20:
+        lines = head[: m.start() if m else head.rfind(b"\n") + 1].split(b"\n")[1:]
+        for line in lines[checked : None if m else -1]:
+            if line.strip() and b":" not in line:
+                raise Damaged("header line")
+        if m:
             break
-        size *= 4
-    if not _VERSION.match(head):
-        raise Damaged("version line")
-    if not m:
-        raise Damaged("header end")
-    lines = head[: m.start()].decode("utf-8", "replace").splitlines()[1:]
+        if len(head) < size:
+            raise Damaged("header end")
+        checked, size = max(0, len(lines) - 1), size * 4
     headers: dict[str, str] = {}
-    for line in lines:
+    for line in head[: m.start()].decode("utf-8", "replace").splitlines()[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header line")
@@ -131,8 +148,7 @@ def parse(data: Callable[[int, int], bytes], at: int) -> tuple[dict[str, str], b
     if not (length.isascii() and length.isdigit()):
         raise Damaged("content length")
     begin, n = at + m.end(), int(length)
-    block = data(begin, n)
-    if len(block) < n:
+    if n and not data(begin + n - 1, 1):
         raise Damaged("truncated block")
     end = data(begin + n, 4)
     if end[:4] == b"\r\n\r\n":
@@ -141,12 +157,27 @@ def parse(data: Callable[[int, int], bytes], at: int) -> tuple[dict[str, str], b
         tail = 2
     else:
         raise Damaged("record end")
+    block = data(begin, n)
     digest = headers.get("warc-block-digest", "")
     if digest.lower().startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest[5:].upper():
         raise Damaged("block digest")
     return headers, block, begin + n + tail
 
 
+def _unpacked(raw: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The good records among a member's bytes, and the first check that failed."""
+    k, found, wrong = 0, [], None
+    while k < len(raw):
+        try:
+            headers, block, k = parse(lambda a, n: raw[a : a + n], k)
+            found.append((headers, block))
+        except Damaged as e:
+            wrong = wrong or str(e)
+            m = _VERSION.search(raw, k + 1)
+            k = m.start() if m else len(raw)
+    return found, wrong
+
+
 def salvage(src: Source, begin: int, end: int, packed: bool) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """(offset, length, failed check or None, headers, block) of what begins in [begin, end)."""
     at = begin
@@ -157,23 +188,23 @@ def salvage(src: Source, begin: int, end: int, packed: bool) -> Iterator[tuple[i
         at = found
         try:
             if packed:
-                raw, after = inflate(src, at)
-                k, records = 0, []
-                while k < len(raw):
-                    headers, block, k = parse(lambda a, n: raw[a : a + n], k)
-                    records.append((headers, block))
+                raw, after, broken = inflate(src, at)
+                records, failed = _unpacked(raw)
+                wrong = broken or failed
+                if wrong:
+                    yield at, 0, wrong, {}, b""
+                for headers, block in records:
+                    yield at, 0 if wrong else after - at, None, headers, block
+                at = at + 1 if broken else after
             else:
                 if not _VERSION.match(src.read(at, 16)):
                     raise Damaged("version line")
                 headers, block, after = parse(src.read, at)
-                records = [(headers, block)]
+                yield at, after - at, None, headers, block
+                at = after
         except Damaged as e:
             yield at, 0, str(e), {}, b""
             at += 1
-            continue
-        for headers, block in records:
-            yield at, after - at, None, headers, block
-        at = after
 
 
 _SCHEMA = pa.schema([("path", pa.string()), ("size", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("failed", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("block", pa.binary())])
@@ -203,7 +234,9 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataF
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").distinct()
     ranges = files.where("length > 0").select("path", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(range_bytes))).alias("begin"))
-    ranges = ranges.select("path", F.col("begin").cast("long").alias("begin"), F.least(F.col("begin") + range_bytes, F.col("size")).cast("long").alias("end")).repartition("path", "begin")
+    ranges = ranges.select("path", F.col("begin").cast("long").alias("begin"), F.least(F.col("begin") + range_bytes, F.col("size")).cast("long").alias("end"))
+    # A number of partitions that is given isn't coalesced, as these rows are small and their work isn't.
+    ranges = ranges.repartition(max(1, min(TASKS, ranges.count())), "path", "begin")
     return ranges.mapInArrow(_read_ranges, "path string, size long, offset long, length long, failed string, record_id string, type string, url string, date string, block binary")
 
 
@@ -216,7 +249,7 @@ def _outer(found: DataFrame) -> DataFrame:
 
 def records(found: DataFrame) -> DataFrame:
     """The recovered records of what ``read_warc`` found."""
-    places = _outer(found.select("path", "offset", "length", "failed")).where("failed is null and offset + length > covered").select("path", "offset").distinct()
+    places = _outer(found.select("path", "offset", "length", "failed")).where("failed is null and (offset >= covered or offset + length > covered)").select("path", "offset").distinct()
     return found.where("failed is null").join(places, ["path", "offset"], "left_semi").drop("failed")
 
 
@@ -255,11 +288,13 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = 64 << 20, packed:
     stored bytes by its page_id; it serves tests of the reader.
     """
 
+    fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs.create_dir(root, recursive=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-        fs.create_dir(root, recursive=True)
         part, number, held, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
         done = []
 
