@@ -1,10 +1,12 @@
 """Dictionaries: patterns of one or more words, with wildcards, looked up in token columns.
 
-All patterns are looked up in one pass. The first word of a pattern is joined with
-the token by equality (wildcards are first expanded on the distinct values of the
-column), so the join's size is that of the candidates; further words are compared
-on the tokens that follow, which a window over the document gives. With patterns of
-one word alone nothing is shuffled.
+All patterns are looked up in one pass over the tokens. The first word of a pattern
+is joined with the token by equality: by the whole word or, if it has a wildcard, by
+the letters before that (three at most), after which its expression is tried. So
+the join's size is that of the candidates. With patterns of several words, tokens
+that match no word of any pattern are dropped where they are read; only the others
+are shuffled, and a window over the document compares those that follow one another.
+With patterns of one word alone nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from textloom.corpus import Corpus
 from textloom.functions import text as T
 
 MAX_WORDS = 100
+#: Patterns, or words of patterns, that are broadcast; beyond it they are joined by shuffling.
+BROADCAST = 200_000
+#: Words that are compared within an expression; beyond it they are broadcast.
+INLINE = 2_000
 _PIECE = regex.compile(r"(?:\\.|[*?]|" + T.TOKEN.replace(r"|[^\s]", "") + r")+|[^\s]")
 
 
@@ -47,16 +53,44 @@ def _rows(patterns: Iterable[tuple[int, str, bool]], sep: str, wildcards: bool,
         head = wildcards and T.has_wildcard(words[0])
         # Words are joined by a character that is in no token.
         whole = "^" + "\u0001".join(x[1:-1].replace(".*", "[^\u0001]*").replace(".?", "[^\u0001]?") for x in rx) + "$"
-        out.append((number, sensitive, len(words), None if head else first, rx[0], None if wild else "\u0001".join(T.unescaped(w) for w in words), whole))
+        stem = _stem(words[0])
+        key = f"{len(stem)}{stem}" if head else f"={first}"
+        each = [rx[k] if wildcards and T.has_wildcard(w) else None for k, w in enumerate(words)]
+        out.append((number, sensitive, len(words), key, rx[0] if head else None, None if wild else "\u0001".join(T.unescaped(w) for w in words), whole, [T.unescaped(w) for w in words], each))
     return out
 
 
-_PATTERNS = "number int, sensitive boolean, words int, first string, head string, exact string, whole string"
+def _stem(pattern: str) -> str:
+    """What stands before the first wildcard, up to three letters."""
+    return regex.match(r"(?:\\.|[^*?\\])*", pattern).group().replace("\\", "")[:3]
 
 
-def _gaps(own: Column, length: int) -> Column:
-    """Distances between the positions of neighbours in an array of ``length`` words."""
-    return F.transform(F.sequence(F.lit(1), F.lit(length - 1)), lambda k: F.element_at(own, k + 1)["i"] - F.element_at(own, k)["i"])
+def _any_word(t: DataFrame, rows: list[tuple]) -> DataFrame:
+    """The rows whose ``__w`` matches a word of a pattern, in whatever case."""
+    plain = {w.lower() for r in rows for w, rx in zip(r[7], r[8]) if rx is None}
+    wild = {rx.lower() if rx == rx.lower() else f"(?i){rx}" for r in rows for rx in r[8] if rx is not None}
+    if len(plain) > BROADCAST or len(wild) > INLINE:
+        return t
+    word, ok = F.lower("__w"), F.lit(False)
+    for rx in sorted(wild):
+        ok = ok | word.rlike(rx)
+    if len(plain) <= INLINE:
+        return t.where(word.isin(sorted(plain)) | ok)
+    known = t.sparkSession.createDataFrame([(w,) for w in sorted(plain)], "__known string")
+    return t.join(F.broadcast(known), word == F.col("__known"), "left").where(F.col("__known").isNotNull() | ok).drop("__known")
+
+
+_PATTERNS = "number int, sensitive boolean, words int, key string, head string, exact string, whole string"
+
+
+def _adjacent(own: Column, length: int) -> Column:
+    """Whether neighbours in an array of ``length`` words follow one another: within a token, or from its end to the next one."""
+
+    def follows(k: Column) -> Column:
+        p, q = F.element_at(own, k), F.element_at(own, k + 1)
+        return ((q["i"] == p["i"]) & (q["s"] == p["s"] + 1)) | ((q["i"] == p["i"] + 1) & (q["s"] == 0) & (p["s"] == p["last"]))
+
+    return F.forall(F.sequence(F.lit(1), F.lit(length - 1)), follows)
 
 
 def lookup(tokens: DataFrame, column: str, patterns: Iterable[tuple[int, str, bool]], context: list[str], sep: str = " ", wildcards: bool = True, ascii_: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -73,24 +107,24 @@ def lookup(tokens: DataFrame, column: str, patterns: Iterable[tuple[int, str, bo
     if ascii_:
         value = T.as_ascii(value)
     t = tokens.where(value.isNotNull()).select(*dict.fromkeys([*context, "token_id", *keep]), value.alias("__v"))
-    table = spark.createDataFrame(rows or [(0, False, 1, "", "", "", "")], _PATTERNS)
+    table = spark.createDataFrame([r[:7] for r in rows] or [(0, False, 1, "", "", "", "")], _PATTERNS)
     if not rows:
         table = table.limit(0)
     longest = max((r[2] for r in rows), default=1)
-    join_small = F.broadcast if len(rows) <= 200_000 else (lambda x: x)
+    join_small = F.broadcast if len(rows) <= BROADCAST else (lambda x: x)
     if longest > 1:
         pieces = F.regexp_extract_all(F.translate(F.col("__v"), "_", " "), F.lit(T.TOKEN), F.lit(0))
         t = t.withColumn("__ps", F.when(F.col("__v").rlike(r"[^\p{L}\p{N}]") & (F.size(pieces) > 1), pieces).otherwise(F.array("__v")))
-        t = t.select("*", F.posexplode("__ps").alias("__sub", "__w")).drop("__ps", "__v")
+        t = t.select("*", F.posexplode("__ps").alias("__sub", "__w"), (F.size("__ps") - 1).alias("__last")).drop("__ps", "__v")
+        t = _any_word(t, rows)
         after = W.partitionBy(*context).orderBy("token_id", "__sub")
         lengths = sorted({r[2] for r in rows if r[2] > 1})
-        s = F.struct(F.col("token_id").alias("i"), F.col("__w").alias("w"))
+        s = F.struct(F.col("token_id").alias("i"), F.col("__sub").alias("s"), F.col("__last").alias("last"), F.col("__w").alias("w"))
         t = t.withColumn("__next", F.collect_list(s).over(after.rowsBetween(0, longest - 1)))
         for length in lengths:
             own = F.slice("__next", 1, length)
-            near = F.forall(_gaps(own, length), lambda gap: gap <= 1)
-            t = t.withColumns({f"__g{length}": F.when(F.size(own) == length, F.when(near, F.array_join(F.transform(own, lambda x: x["w"]), "\u0001"))), f"__e{length}": F.element_at(own, -1)["i"]})
-        t = t.drop("__next")
+            t = t.withColumns({f"__g{length}": F.when(F.size(own) == length, F.when(_adjacent(own, length), F.array_join(F.transform(own, lambda x: x["w"]), "\u0001"))), f"__e{length}": F.element_at(own, -1)["i"]})
+        t = t.drop("__next", "__last")
     else:
         lengths = []
         t = t.withColumnRenamed("__v", "__w")
@@ -98,14 +132,13 @@ def lookup(tokens: DataFrame, column: str, patterns: Iterable[tuple[int, str, bo
     for sensitive in sorted({r[1] for r in rows}) or [False]:
         own = table.where(F.col("sensitive") == sensitive)
         word = F.col("__w") if sensitive else F.lower("__w")
-        heads = own.where("first is not null")
-        if any(r[3] is None and r[1] == sensitive for r in rows):
-            vocabulary = t.select(word.alias("__first")).distinct()
-            open_ = own.where("first is null").crossJoin(vocabulary).where(F.expr("__first RLIKE head"))
-            heads = heads.unionByName(open_.select("number", "sensitive", "words", F.col("__first").alias("first"), "head", "exact", "whole"))
-            hit = t.join(heads, word == F.col("first"))
+        stems = sorted({r[3][0] for r in rows if r[1] == sensitive} - {"="})
+        if stems:
+            keys = [F.concat(F.lit("="), word), *(F.concat(F.lit(k), F.substring(word, 1, int(k))) for k in stems)]
+            hit = t.withColumn("__key", F.explode(F.array(*keys))).join(join_small(own), F.col("__key") == F.col("key")).drop("__key")
+            hit = hit.where(F.col("head").isNull() | F.expr(f"{'__w' if sensitive else 'lower(__w)'} RLIKE head"))
         else:
-            hit = t.join(join_small(heads), word == F.col("first"))
+            hit = t.join(join_small(own), F.concat(F.lit("="), word) == F.col("key"))
         if lengths:
             gram, end = F.lit(None).cast("string"), F.col("token_id")
             for length in lengths:
@@ -161,8 +194,12 @@ def _numbered(spark: SparkSession, d, string_col: str) -> tuple[DataFrame, list]
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], schema), [(k, r[string_col]) for k, r in enumerate(rows) if r[string_col] is not None]
 
 
+def _small(numbered: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(numbered) if rows <= BROADCAST else numbered
+
+
 def matches(corpus: Corpus, d, token_col: str = "token", string_col: str = "string", sep: str = " ", mode: str = "unique_hits", case_sensitive: bool = False, use_wildcards: bool = True, ascii: bool = False, context_level: str = "document") -> tuple[DataFrame, DataFrame]:
-    """(hits with ``__number``, context columns, token_id of the first token, n), and the numbered dictionary.
+    """(hits with ``__number``, context columns, token_id of the first token, n), and the numbered dictionary, with a broadcast hint if it is small.
 
     In mode unique_hits a token belongs to one hit: of overlapping ones the longest,
     then the one that begins first, then the dictionary's first.
@@ -179,7 +216,7 @@ def matches(corpus: Corpus, d, token_col: str = "token", string_col: str = "stri
         m = won.groupBy(*context, "__number", "token_id", "n").agg(F.min(F.col("__won").cast("int")).alias("__won")).where("__won = 1").drop("__won")
     elif mode != "features":
         raise ValueError("mode is 'unique_hits' or 'features'")
-    return m, numbered
+    return m, _small(numbered, len(patterns))
 
 
 def _with_ids(m: DataFrame) -> DataFrame:
@@ -196,7 +233,7 @@ def search_dictionary(corpus: Corpus, d, token_col: str = "token", string_col: s
     """code, feature, doc_id, sentence, token_id, hit_id of each token of a hit."""
     m, numbered = matches(corpus, d, token_col, string_col, sep, mode, case_sensitive, use_wildcards, ascii)
     codes = numbered.select("__number", F.col(code_col if code_col in numbered.columns else string_col).cast("string").alias("code"))
-    hits = _spread(_with_ids(m), ["doc_id"]).join(F.broadcast(codes), "__number").drop("__number")
+    hits = _spread(_with_ids(m), ["doc_id"]).join(codes, "__number").drop("__number")
     sentence = F.col("sentence") if corpus.has_sentences else F.lit(None).cast("int").alias("sentence")
     t = corpus.tokens.select("doc_id", "token_id", F.col(token_col).alias("feature"), sentence)
     return hits.join(t, ["doc_id", "token_id"]).select("code", "feature", "doc_id", "sentence", "token_id", "hit_id")
@@ -206,7 +243,7 @@ def code_dictionary(corpus: Corpus, d, token_col: str = "token", string_col: str
     """Adds the dictionary's columns and ``<column>_id`` (the hit) to the tokens of its hits."""
     m, numbered = matches(corpus, d, token_col, string_col, sep, "unique_hits", case_sensitive, use_wildcards, ascii)
     extra = numbered.drop(string_col)
-    hits = _spread(_with_ids(m), ["doc_id"]).withColumnRenamed("hit_id", f"{column}_id").join(F.broadcast(extra), "__number").drop("__number")
+    hits = _spread(_with_ids(m), ["doc_id"]).withColumnRenamed("hit_id", f"{column}_id").join(extra, "__number").drop("__number")
     t = corpus.tokens.drop(*[c for c in hits.columns if c not in ("doc_id", "token_id")])
     return Corpus(t.join(hits, ["doc_id", "token_id"], "left"), corpus.meta, corpus.model)
 
@@ -222,7 +259,7 @@ def replace_dictionary(corpus: Corpus, d, token_col: str = "token", string_col:
     """Makes each hit one token, its code (or matched string), and renumbers the tokens after it."""
     m, numbered = matches(corpus, d, token_col, string_col, sep, "unique_hits", case_sensitive, use_wildcards)
     label = F.col(code_col).cast("string") if code_col in numbered.columns else F.lit(None).cast("string")
-    m = m.join(F.broadcast(numbered.select("__number", label.alias("__code"))), "__number").select("doc_id", "token_id", "n", "__code")
+    m = m.join(numbered.select("__number", label.alias("__code")), "__number").select("doc_id", "token_id", "n", "__code")
     here = W.partitionBy("doc_id").orderBy("token_id")
     t = corpus.tokens.join(m, ["doc_id", "token_id"], "left")
     begin = F.last(F.when(F.col("n").isNotNull(), F.col("token_id")), True).over(here)

@@ -103,6 +103,16 @@ def _contexts(x, m: DataFrame, context: list[str]) -> DataFrame:
     return found.select("doc_id", *(["sentence"] if "sentence" in context else [])).distinct()
 
 
+def _boolean(x, leaf) -> Column | None:
+    """The condition on a context, by one on each leaf; None for queries with positions."""
+    if isinstance(x, Q.Leaf):
+        return leaf(x.number)
+    parts = [_boolean(t, leaf) for t in x.terms]
+    if x.relation not in ("OR", "AND", "NOT") or any(p is None for p in parts):
+        return None
+    return parts[0] & ~parts[1] if x.relation == "NOT" else reduce((lambda a, b: a | b) if x.relation == "OR" else (lambda a, b: a & b), parts)
+
+
 _HITS = "code string, doc_id {doc}, sentence int, token_id int, n int, ghost boolean, hit_id int"
 
 
@@ -173,12 +183,19 @@ def search_contexts(corpus: Corpus, queries: str | list[str], codes: list[str] |
     context = corpus.context(context_level)
     trees = _plan(corpus, queries, codes, feature)
     m = leaf_matches(corpus, trees, context, as_ascii)
+    sentence = F.col("sentence").cast("int") if "sentence" in context else F.lit(None).cast("int")
     parts = []
-    for code, x in trees:
+    plain = [(code, c) for code, x in trees if (c := _boolean(x, lambda k: F.array_contains("__leaves", k))) is not None]
+    if plain:  # all such queries by one row for each context
+        flags = m.groupBy(*context).agg(F.collect_set("leaf").alias("__leaves"))
+        if inverse:
+            flags = all_contexts(corpus, context).join(flags, context, "left").withColumn("__leaves", F.coalesce("__leaves", F.array().cast("array<int>")))
+        held = F.array_compact(F.array(*[F.when(~c if inverse else c, F.lit(code)) for code, c in plain]))
+        parts.append(flags.select(F.explode(held).alias("code"), "doc_id", sentence.alias("sentence")))
+    for code, x in [(code, x) for code, x in trees if _boolean(x, lambda k: F.lit(True)) is None]:
         c = _contexts(x, m, context)
         if inverse:
             c = all_contexts(corpus, context).join(c, context, "left_anti")
-        sentence = F.col("sentence").cast("int") if "sentence" in context else F.lit(None).cast("int")
         parts.append(c.select(F.lit(code).alias("code"), "doc_id", sentence.alias("sentence")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
