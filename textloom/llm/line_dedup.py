@@ -27,6 +27,9 @@ its first line. A null or empty text stays as it is. A document with a null
 doc_id stays as it is and is no original. Rows that repeat a doc_id
 with the same text are one document, so both rows keep the same lines; with
 another text they are another document. Texts of any length are worked on whole.
+Extra columns are passed through, but for one of the name of the count, which is
+replaced. An empty table gives no rows. A line that occurs everywhere is no burden
+to one task: suffixes that are alike are summed before they are ranked.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ from textloom.llm._common import maybe_broadcast, only, written
 
 #: Runs of identical lines of fewer words stay.
 MIN_WORDS = 25
+#: Bytes of a table of runs that is broadcast.
+BROADCAST_BYTES = 48 << 20
 
 
 def _nonblank(text: Column) -> Column:
@@ -78,8 +83,13 @@ def suffix_ranks(isles: DataFrame, steps: int) -> DataFrame:
     x = isles.withColumn("o0", F.lit(0))
     for k in range(steps):
         x = x.withColumns({"nid": F.lead("id", 2**k).over(here), "no": F.lead(f"o{k}", 2**k).over(here)})
-        group = W.partitionBy("id").orderBy(f"o{k}", F.col("nid").asc_nulls_first(), F.col("no").asc_nulls_first())
-        x = x.withColumn(f"o{k + 1}", F.rank().over(group) - 1)
+        # Suffixes that are alike so far are one row of the group, however often a line occurs.
+        x = written(x, f"suffixes{k}")
+        alike = x.groupBy("id", f"o{k}", "nid", "no").agg(F.count("*").alias("n"))
+        smaller = W.partitionBy("id").orderBy(f"o{k}", F.col("nid").asc_nulls_first(), F.col("no").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+        alike = alike.select(F.col("id").alias("__id"), F.col(f"o{k}").alias("__o"), F.col("nid").alias("__nid"), F.col("no").alias("__no"), F.coalesce(F.sum("n").over(smaller), F.lit(0)).cast("int").alias(f"o{k + 1}"))
+        same = (F.col("id") == F.col("__id")) & (F.col(f"o{k}") == F.col("__o")) & F.col("nid").eqNullSafe(F.col("__nid")) & F.col("no").eqNullSafe(F.col("__no"))
+        x = x.join(alike, same).drop("__id", "__o", "__nid", "__no")
     return x.drop("nid", "no")
 
 
@@ -129,10 +139,10 @@ def copied_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     steps = max(1, min_words).bit_length() - 1
     x = suffix_ranks(islands(lines, min_words), steps)
     x = x.groupBy("doc_id", "txt", "isle").agg(F.sort_array(F.collect_list(F.struct("k", "at", "id", "words", *[f"o{j}" for j in range(steps + 1)]))).alias("s"))
-    blocks = x.mapInArrow(_blocks(steps, min_words), _BLOCK)
-    here = F.struct("doc_id", "txt", "first")
-    blocks = blocks.withColumn("original", F.min(here).over(W.partitionBy("a", "ao", "b", "bo", "n")))
-    dead = blocks.where(here > F.col("original")).select("doc_id", "txt", F.explode("ats").alias("at"))
+    blocks = written(x.mapInArrow(_blocks(steps, min_words), _BLOCK), "blocks")
+    here, name = F.struct("doc_id", "txt", "first"), ["a", "ao", "b", "bo", "n"]
+    original = blocks.groupBy(*name).agg(F.min(here).alias("original"), F.count("*").alias("times")).where("times > 1").drop("times")
+    dead = blocks.join(original, name).where(here > F.col("original")).select("doc_id", "txt", F.explode("ats").alias("at"))
     dead = dead.groupBy("doc_id", "txt").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     # Neighbouring lines unite to runs: an index begins one if its predecessor isn't there, and ends one likewise.
     ats = F.col("ats")
@@ -141,15 +151,16 @@ def copied_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return dead.select("doc_id", "txt", F.arrays_zip(begins.alias("first"), ends.alias("last")).alias("runs"), F.size("ats").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of line runs cut out of ``text``, and ``removed_lines``."""
-    runs = written(copied_runs(docs, min_words), "runs").withColumnsRenamed({"doc_id": "__id", "txt": "__txt", "runs": "__runs", "removed": "removed_lines"})
-    runs = maybe_broadcast(runs, runs.count(), 1_000_000)
-    out = docs.drop("removed_lines").withColumn("__hash", F.xxhash64("text"))
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, count: str = "removed_lines") -> DataFrame:
+    """``docs`` with later copies of line runs cut out of ``text``, and their number of lines as column ``count``, which replaces one of that name."""
+    runs = written(copied_runs(docs, min_words), "runs").withColumnsRenamed({"doc_id": "__id", "txt": "__txt", "runs": "__runs", "removed": "__count"})
+    held = runs.agg(F.coalesce(F.sum(48 + 8 * F.size("__runs")), F.lit(0))).first()[0]
+    runs = maybe_broadcast(runs, held, BROADCAST_BYTES)
+    out = docs.drop(count).withColumn("__hash", F.xxhash64("text"))
     out = out.join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__txt")), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("__runs", lambda r: i.between(r["first"], r["last"])))
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return out.withColumns({"text": text, "removed_lines": F.coalesce("removed_lines", F.lit(0))}).drop("__id", "__txt", "__hash", "__runs")
+    return out.withColumns({"text": text, count: F.coalesce("__count", F.lit(0))}).drop("__id", "__txt", "__hash", "__runs", "__count")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
