@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs).where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
+    out = line_dedup.dedup_lines(docs, count="__removed").where((F.col("__removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        cut = F.when(F.col("removed_lines") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+        cut = F.when(F.col("__removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", cut)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
