@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.plans import comparisons, corpora, networks, searches, statistics
+from textloom.plans import comparisons, corpora, coverage, networks, searches, statistics
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _m in (corpora, searches, statistics, comparisons, networks):
+for _m in (corpora, coverage, searches, statistics, comparisons, networks):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
 FLAGSHIP = "count_query"
