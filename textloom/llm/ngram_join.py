@@ -11,7 +11,7 @@ are counted over all documents; there are at most (mean set size / ``heavy``) of
 them, whatever the input, so the list is broadcast.
 
 Fragments. The order is cut vertically. Of each set the first fragment (light
-n-grams with a hash below 1 - ``threshold`` of all) and the prefix (the first
+n-grams with a hash below ``FIRST`` of all) and the prefix (the first
 |x| - ceil(t|x|) + 1, of which similar sets share one) are sent to the task of
 their hash range, packed. Documents with the same set are one entity from here on.
 A range names each n-gram's list of entities by the least of them, its label; near
@@ -62,6 +62,8 @@ N = 3
 THRESHOLD = 0.6
 HEAVY = 1 / 200
 FRAGMENTS = 8
+#: Share of the light n-grams in the first fragment: the larger, the more of it similar sets must share, and the more is sent.
+FIRST = 0.6
 #: Entities of a block of a cell.
 CELL = 1000
 #: N-grams that a task should hold.
@@ -157,9 +159,13 @@ def _profile(n: int, heavy: float):
     return run
 
 
-def _odd(z: np.ndarray, rest: np.ndarray, t: float) -> np.ndarray:
+#: Share of a set that may be beyond the first fragment before it is odd.
+_SHARE = 1 - FIRST + 0.1
+
+
+def _odd(z: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Sets with so many n-grams beyond the first fragment that ``_least`` doesn't hold for them and their partners."""
-    return rest > (t + (1 - t) / 4) * z
+    return rest > _SHARE * z
 
 
 def _least(z: np.ndarray, rest: np.ndarray, t: float) -> np.ndarray:
@@ -168,9 +174,8 @@ def _least(z: np.ndarray, rest: np.ndarray, t: float) -> np.ndarray:
     With a partner of b n-grams that is t/(1+t) (z + b) less min(rest, share * b):
     falling and then rising in b, so least where rest = share * b, or at an end.
     """
-    share = t + (1 - t) / 4
-    b = np.clip(rest / share, t * z, z / t)
-    return np.maximum(np.ceil(t / (1 + t) * (z + b) - np.minimum(rest, share * b) - 1e-6), 1).astype(np.int64)
+    b = np.clip(rest / _SHARE, t * z, z / t)
+    return np.maximum(np.ceil(t / (1 + t) * (z + b) - np.minimum(rest, _SHARE * b) - 1e-6), 1).astype(np.int64)
 
 
 def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
@@ -180,7 +185,7 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
     """
     order = np.argsort(heavy, kind="stable")
     sorted_heavy = heavy[order]
-    cut = U(int((1 - t) * 2**64))
+    cut = U(int(FIRST * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << _BITS, dtype=bool)
@@ -251,7 +256,7 @@ def _mates(begin: np.ndarray, length: np.ndarray, who: np.ndarray, z: np.ndarray
     The entities of a list are taken together by size, so a long list costs no more than its length by the number of sizes.
     """
     out = np.full(len(z), _FAR, dtype=np.int64)
-    odd = _odd(z, rest, t)
+    odd = _odd(z, rest)
     if not len(begin):
         return out
     lists = np.flatnonzero((length > 1) & np.maximum.reduceat(odd[who], begin))
@@ -327,7 +332,7 @@ def _kept(t: float):
         label, n = read("l", np.int64), read("n", np.int32)
         ent, at, back = np.unique(e, return_index=True, return_inverse=True)
         z, r = z[at].astype(np.int64), r[at].astype(np.int64)
-        least = np.where(_odd(z, r, t), _FAR, _least(z, r, t))
+        least = np.where(_odd(z, r), _FAR, _least(z, r, t))
         np.minimum.at(least, back, s)
         who = np.repeat(back, c)
         o = np.lexsort((label, who))
@@ -537,7 +542,7 @@ def entities(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, heavy: f
     counts = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, heavy * known.get(2, 0))).orderBy("n", "key").toPandas()
     grams = counts["key"].to_numpy(dtype=np.int64).view(np.uint64)
     member = profile.where("kind = 0").select(F.col("key").alias("doc_id"), "txt", F.col("set").alias("entity"), F.col("n").alias("size")).distinct()
-    parts = max(12, -(-int(known.get(0, 0) * (1 - threshold)) // part_grams))
+    parts = max(12, -(-int(known.get(0, 0) * max(FIRST, 1 - threshold)) // part_grams))
     postings = d.select("doc_id", "text").mapInArrow(_prefixes(n, threshold, grams, parts), _POSTINGS)
     labels = postings.groupBy("part").applyInArrow(_labels(threshold, parts), _LABELS)
     kept = written(labels.groupBy("q").applyInArrow(_kept(threshold), "entity long, z long, labels array<long>"), "kept")
