@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import stats
-from textloom.operators import dictionary, network, preprocessing, present, search
+from textloom.operators import dictionary, network, overlap, preprocessing, present, search
 from textloom.plans._base import TOK, documents, rounded, turns
 from textloom.sources import tables, texts
 from textloom.sources.texts import from_texts
@@ -160,8 +160,26 @@ def quoted(spark, sf):
     return c.tokens.where("in_quote").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (accessed, meta_by_token, described, levels, assigned, merged_tokens, top_words, first_tokens, fields, imported, morphology, whitespace, trigrams, query_conditions, hit_codes, smoothed, smoothed_in_languages, turn_network, marked_up, word_cloud, quoted)}
+def tagged(spark, sf):
+    """Number of letters of words at whose ends groups of so many words are tagged, the longest first."""
+    c = documents(spark, sf).set("size", "length(token)", subset="length(token) between 9 and 12").set("tag", "token", subset="size is not null")
+    c = overlap.tag_ngrams(c.set("size", F.col("size") - 7), "tag", "size", "tag", priority="long")
+    return c.tokens.where("tag is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("tag")).alias("letters"))
+
+
+def token_tfidf(spark, sf):
+    """tf-idf of each token, summed by document."""
+    t = overlap.add_tfidf(documents(spark, sf), "token").tokens
+    return rounded(t.groupBy("doc_id").agg(F.sum("tfidf").alias("tfidf"), F.count("*").alias("n")), "tfidf", places=5)
+
+
+QUERIES = {f.__name__: f for f in (tagged, token_tfidf, accessed, meta_by_token, described, levels, assigned, merged_tokens, top_words, first_tokens, fields, imported, morphology, whitespace, trigrams, query_conditions, hit_codes, smoothed, smoothed_in_languages, turn_network, marked_up, word_cloud, quoted)}
 ORACLE = {
+    "tagged": f"""WITH {TOK}, g AS (SELECT doc_id, token_id AS last, token AS tag, length(token) - 7 AS n FROM tok WHERE length(token) BETWEEN 9 AND 12),
+s AS (SELECT doc_id, tag, n, last, unnest(range(greatest(1, last - n + 1), last + 1)) AS token_id FROM g),
+b AS (SELECT doc_id, token_id, tag FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, token_id ORDER BY n DESC, last) = 1)
+SELECT doc_id, count(*) AS n, CAST(sum(length(tag)) AS BIGINT) AS letters FROM b GROUP BY doc_id""",
+    "token_tfidf": f"WITH {TOK}, m AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM m GROUP BY 1), r AS (SELECT doc_id, sum(n) AS r FROM m GROUP BY 1) SELECT doc_id, round(sum(m.n * m.n / r * log2((SELECT count(DISTINCT doc_id) FROM tok) / df)), 5) AS tfidf, CAST(sum(m.n) AS BIGINT) AS n FROM m JOIN df USING (token) JOIN r USING (doc_id) GROUP BY doc_id",
     "accessed": f"WITH {TOK} SELECT doc_id, token_id, token, 'keys' AS how FROM tok WHERE token_id <= 3 AND doc_id < 20 UNION ALL SELECT doc_id, token_id, CAST(doc_id AS VARCHAR), 'context' FROM tok WHERE token_id = 2",
     "meta_by_token": f"WITH {TOK} SELECT source, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok JOIN documents USING (doc_id) WHERE lang <> 'en' GROUP BY source",
     "described": f"WITH {TOK} SELECT count(*) AS tokens, count(DISTINCT doc_id) AS documents, 'doc_id,token_id,token,doc_id,lang,source,token' AS names FROM tok",
