@@ -7,12 +7,17 @@ leaves at most one bin badly filled, so shards of thousands of items cost nothin
 
 Each shard is solved by ``islands`` populations, which evolve apart, in tasks of
 their own. An individual is a grouping of the items into bins; its fitness is the
-mean square fill of the bins. Crossover takes a parent and injects bins of the
+mean of the squared fill of the bins, which prefers fewer bins and, with as many,
+wholly filled ones and the room that is left in one. Best fit mostly reaches the
+least number of bins; what the search gains over it are bins without padding.
+Crossover takes a parent and injects bins of the
 other, well-filled ones first by chance; bins of the parent that share an item
 with an injected one are dropped, and the items that this displaces, and that are
-in no injected bin, are put back by best fit, largest first. Mutation empties
+in no injected bin, are put back by best fit, largest first; then items are exchanged between bins
+where that fills one. Mutation empties
 some of the worst bins likewise. After each epoch the islands of a shard pass
 their elite on in a ring. At the end the best individual of all islands is taken.
+An island stops before its generations are over only if all its bins but one are full.
 
 All randomness is seeded by shard, island and epoch, and items are ordered by
 (tokens, doc_id, part), so a task that runs again gives the same bins.
@@ -40,7 +45,9 @@ from textloom.llm._common import only, written
 
 WINDOW = 2048
 SHARD_ITEMS = 1500
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 6
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 10, 6
+#: Tasks of an epoch, at most; beyond it a task evolves several islands.
+TASKS = 20_000
 
 
 def best_fit(items: list[int], size: list[int], bins: list[list[int]], room: list[int], window: int) -> None:
@@ -87,6 +94,32 @@ class Individual:
         return Individual([x.tolist() for x in np.split(order, cut)], size, window)
 
 
+def tighten(size: list[int], bins: list[list[int]], room: list[int]) -> None:
+    """Exchanges an item for one of another open bin that is larger by just the room, as long as that fills a bin; the room moves to the other."""
+    at: dict[int, set[int]] = {}
+    for b, r in enumerate(room):
+        if r:
+            for i in bins[b]:
+                at.setdefault(size[i], set()).add(i)
+    where = {i: b for b, r in enumerate(room) if r for i in bins[b]}
+    for b in sorted(range(len(bins)), key=lambda x: (room[x], x)):
+        if not room[b]:
+            continue
+        for i in sorted(bins[b]):
+            j = min((x for x in at.get(size[i] + room[b], ()) if where[x] != b), default=None)
+            if j is None:
+                continue
+            o = where[j]
+            bins[b][bins[b].index(i)], bins[o][bins[o].index(j)] = j, i
+            room[o] += room[b]
+            room[b] = 0
+            where[i] = o
+            for x in bins[b]:
+                at[size[x]].discard(x)
+                where.pop(x, None)
+            break
+
+
 def _rebuilt(kept: list[list[int]], size: list[int], window: int, n: int) -> Individual:
     """The kept bins and, by best fit, all items that are in none of them."""
     there = np.zeros(n, dtype=bool)
@@ -95,6 +128,8 @@ def _rebuilt(kept: list[list[int]], size: list[int], window: int, n: int) -> Ind
     bins = [list(b) for b in kept]
     room = [window - sum(size[i] for i in b) for b in bins]
     best_fit(np.flatnonzero(~there).tolist(), size, bins, room, window)
+    if kept:
+        tighten(size, bins, room)
     return Individual(bins, size, window)
 
 
@@ -114,9 +149,9 @@ def crossover(a: Individual, b: Individual, size: list[int], window: int, rng: n
 
 
 def mutate(a: Individual, size: list[int], window: int, rng: np.random.Generator) -> Individual:
-    """Empties bins, badly filled ones the likelier, and some others."""
+    """Empties bins that aren't full, badly filled ones the likelier, and some full ones."""
     room = np.array(a.room) / window
-    keep = rng.random(len(a.bins)) >= np.minimum(0.9, 0.05 + 4 * room)
+    keep = rng.random(len(a.bins)) >= np.where(room > 0, np.minimum(0.9, 0.5 + 4 * room), 0.03)
     return _rebuilt([own for own, x in zip(a.bins, keep) if x], size, window, len(size))
 
 
@@ -136,11 +171,10 @@ def seeded(size: list[int], window: int, population: int, rng: np.random.Generat
 
 def evolve(people: list[Individual], size: list[int], window: int, generations: int, rng: np.random.Generator) -> list[Individual]:
     """Steady-state: in each generation a child of two tournament winners, and a mutant of the best, replace the worst."""
-    lower = -(-sum(size) // window)
     people = sorted(people, key=lambda x: -x.fit)
     for _ in range(generations):
-        if len(people[0].bins) <= lower:
-            break  # no grouping has fewer bins
+        if sum(1 for r in people[0].room if r) <= 1:
+            break  # no grouping is fitter
         pick = lambda: people[min(rng.integers(len(people)), rng.integers(len(people)))]
         children = [crossover(pick(), pick(), size, window, rng), mutate(people[0], size, window, rng)]
         people = sorted(people + children, key=lambda x: -x.fit)[: len(people)]
@@ -212,7 +246,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokens: str | None = None, shard
     state = state.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.withColumn("people", F.array().cast("array<binary>")).select("shard", "island", "sizes", "people", F.lit(0.0).alias("fit"))
     for e in range(epochs):
-        state = state.repartition("shard", "island").mapInArrow(_epoch(window, population, generations, e, e == epochs - 1), _STATE_SQL)
+        # A number of partitions that is given isn't coalesced, as these rows are small and their work isn't.
+        state = state.repartition(min(TASKS, shards * islands), "shard", "island").mapInArrow(_epoch(window, population, generations, e, e == epochs - 1), _STATE_SQL)
         if e < epochs - 1:
             state = state.groupBy("shard").applyInArrow(_migrate, _STATE_SQL)
     best = state.groupBy("shard").agg(F.max_by(F.element_at("people", 1), F.struct("fit", -F.col("island"))).alias("labels"))
