@@ -5,13 +5,16 @@ host, and, with less weight, the relation of a subdomain with the host it is
 under, either way, where the tables hold both (who controls one controls the
 other). Trust flows from trusted seeds along the edges, distrust from blocked
 seeds against them (who links to spam is suspect), both by personalised PageRank
-with damping ``damping`` over ``rounds`` rounds; what a host without edges has
-returns to the seeds. Scores are relative to the mean over all hosts. A host is
+with damping ``damping``; what a host without edges has returns to the seeds. Rounds
+go on until no score changes by more than ``tolerance`` times the mean score, or for
+a given number of ``rounds``. Seeds are expressions on host names, and tables of
+hosts, as from public lists, if they are given. Scores are relative to the mean over all hosts. A host is
 blocked if it is a blocked seed, or if its distrust reaches ``threshold`` and
 exceeds its trust; pages are kept or dropped with their host.
 
 Each round is one join of edges with scores and one sum by host; the scores are
-written every ``cut`` rounds to cut lineage, and no host list is collected.
+written every ``cut`` rounds to cut lineage and to compare them, and no host list is
+collected. Without any edge the scores are those of the seeds, and no round runs.
 
 Hosts are in lower case without user, port and a final dot. Defined results: a
 null URL or one without a host has a null host, scores of 0 and is kept; null
@@ -23,6 +26,8 @@ no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +37,9 @@ from textloom.llm._common import only, written
 BLOCKED = r"(^|[.-])(spam|spam-farm|cheap-pills|pills|casino|casino-win|adult|adult-x|porn|malware|phishing)([.-]|$)"
 #: Trusted seeds: hosts of non-profit domains.
 TRUSTED = r"(^|\.)[^.]+\.(org|edu|gov)$"
-DAMPING, ROUNDS, THRESHOLD, DOMAIN_WEIGHT = 0.85, 10, 0.5, 0.5
+DAMPING, THRESHOLD, DOMAIN_WEIGHT = 0.85, 0.5, 0.5
+#: Greatest change of a score, in shares of the mean, at which rounds end.
+TOLERANCE = 1e-4
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -56,36 +63,49 @@ def host_edges(pages: DataFrame, domain_weight: float = DOMAIN_WEIGHT) -> DataFr
     return links.unionByName(kin).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def rank(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds: int, cut: int) -> DataFrame:
+def rank(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds: int | None, cut: int, tolerance: float) -> DataFrame:
     """host, score: personalised PageRank from the hosts where column ``seed`` holds; the scores add up to 1."""
-    seeds = hosts.agg(F.sum(F.col(seed).cast("int"))).first()[0] or 0
+    n, seeds = hosts.agg(F.count("*"), F.coalesce(F.sum(F.col(seed).cast("int")), F.lit(0))).first()
     if not seeds:
         return hosts.select("host", F.lit(0.0).alias("score"))
+    start = (F.col(seed).cast("double") / seeds).alias("seed")
+    if not edges.limit(1).count():
+        return hosts.select("host", start.alias("score"))  # all that a host without edges has returns to the seeds
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     flow = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "flow")
-    base = written(hosts.join(out.select(F.col("src").alias("host"), F.lit(True).alias("linked")), "host", "left").select("host", (F.col(seed).cast("double") / seeds).alias("seed"), F.coalesce("linked", F.lit(False)).alias("linked")), "base")
-    score = base.select("host", "linked", "seed", F.col("seed").alias("score"))
-    for k in range(rounds):
+    base = written(hosts.join(out.select(F.col("src").alias("host"), F.lit(True).alias("linked")), "host", "left").select("host", start, F.coalesce("linked", F.lit(False)).alias("linked")), "base")
+    score = base.select("host", "linked", "seed", F.col("seed").alias("score"), F.lit(None).cast("double").alias("was"))
+    for k in itertools.count(1):
         stuck = score.where("not linked").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("stuck"))
         came = flow.join(score.select(F.col("host").alias("src"), "score"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        score = base.join(came, "host", "left").crossJoin(F.broadcast(stuck))
-        score = score.select("host", "linked", "seed", ((1 - damping) * F.col("seed") + damping * (F.coalesce("came", F.lit(0.0)) + F.col("stuck") * F.col("seed"))).alias("score"))
-        if k % cut == cut - 1 or k == rounds - 1:
+        now = ((1 - damping) * F.col("seed") + damping * (F.coalesce("came", F.lit(0.0)) + F.col("stuck") * F.col("seed"))).alias("score")
+        score = base.join(came, "host", "left").join(score.select("host", F.col("score").alias("was")), "host").crossJoin(F.broadcast(stuck)).select("host", "linked", "seed", now, "was")
+        if k % cut == 0 or k == rounds:
             score = written(score, "score")
-    return score.select("host", "score")
+            if k == rounds or rounds is None and (score.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0) * n <= tolerance:
+                return score.select("host", "score")
+
+
+def _marked(named: DataFrame, pattern: str | None, table: DataFrame | None, column: str) -> DataFrame:
+    """``named`` with a column that says whether the host matches the expression or is in the table."""
+    ok = F.lit(False) if pattern is None else F.col("host").rlike(pattern)
+    if table is None:
+        return named.withColumn(column, ok)
+    known = only(table, "host").select(F.rtrim(F.lower(F.trim("host")), F.lit(".")).alias("host")).where("host is not null").distinct().withColumn("__known", F.lit(True))
+    return named.join(known, "host", "left").withColumn(column, ok | F.coalesce("__known", F.lit(False))).drop("__known")
 
 
-def host_scores(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, domain_weight: float = DOMAIN_WEIGHT, cut: int = 2) -> DataFrame:
-    """host, trust, distrust (1 is the mean over hosts), blocked."""
+def host_scores(pages: DataFrame, trusted: str | None = TRUSTED, blocked: str | None = BLOCKED, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD, domain_weight: float = DOMAIN_WEIGHT, cut: int = 2, tolerance: float = TOLERANCE, trusted_hosts: DataFrame | None = None, blocked_hosts: DataFrame | None = None) -> DataFrame:
+    """host, trust, distrust (1 is the mean over hosts), blocked. A host that is a seed of both kinds is a blocked one."""
     p = only(pages, "url", "html")
     edges = written(host_edges(p, domain_weight), "edges")
     named = p.select(host(F.col("url")).alias("host")).where("host is not null").unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    bad = F.col("host").rlike(blocked)
-    hosts = written(named.select("host", bad.alias("bad"), (~bad & F.col("host").rlike(trusted)).alias("good")), "hosts")
+    named = _marked(_marked(named, blocked, blocked_hosts, "bad"), trusted, trusted_hosts, "good")
+    hosts = written(named.select("host", "bad", (~F.col("bad") & F.col("good")).alias("good")), "hosts")
     n = hosts.count()
-    trust = rank(edges, hosts, "good", damping, rounds, cut)
+    trust = rank(edges, hosts, "good", damping, rounds, cut, tolerance)
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = rank(turned, hosts, "bad", damping, rounds, cut)
+    distrust = rank(turned, hosts, "bad", damping, rounds, cut, tolerance)
     s = hosts.join(trust.withColumnRenamed("score", "t"), "host").join(distrust.withColumnRenamed("score", "d"), "host")
     s = s.select("host", "bad", F.round(F.col("t") * n, 6).alias("trust"), F.round(F.col("d") * n, 6).alias("distrust"))
     return s.select("host", "trust", "distrust", (F.col("bad") | ((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")))).alias("blocked"))
@@ -103,8 +123,8 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _sql() -> str:
-    """The same rounds, unrolled."""
+def _sql(rounds: int = 60) -> str:
+    """The same rounds by recursion, so many that no score changes by more than the tolerance (0.85 to the power 60 is 6e-5)."""
     href = _HREF.replace("'", "''")
     auth = _AUTHORITY.replace("'", "''")
     host_of = lambda u: f"nullif(rtrim(lower(regexp_extract(trim({u}), '{auth}', 1)), '.'), '')"
@@ -119,12 +139,12 @@ def _sql() -> str:
     ]
     for name, seed, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
         ctes.append(f"{name}f AS (SELECT {src} AS src, {dst} AS dst, w / sum(w) OVER (PARTITION BY {src}) AS share FROM e)")
-        ctes.append(f"{name}0 AS (SELECT host, coalesce({seed}::INT::DOUBLE / nullif((SELECT count(*) FROM h WHERE {seed}), 0), 0) AS seed, host IN (SELECT src FROM {name}f) AS linked, coalesce({seed}::INT::DOUBLE / nullif((SELECT count(*) FROM h WHERE {seed}), 0), 0) AS score FROM h)")
-        for k in range(1, ROUNDS + 1):
-            b = f"{name}{k - 1}"
-            ctes.append(f"{name}{k} AS (SELECT b.host, b.seed, b.linked, {1 - DAMPING} * b.seed + {DAMPING} * (coalesce(c.came, 0) + b.seed * (SELECT coalesce(sum(score), 0) FROM {b} WHERE NOT linked)) AS score FROM {b} b LEFT JOIN (SELECT f.dst, sum(f.share * x.score) AS came FROM {name}f f JOIN {b} x ON f.src = x.host GROUP BY f.dst) c ON b.host = c.dst)")
-    ctes.append(f"s AS (SELECT h.host, h.bad, round(t.score * (SELECT count(*) FROM h), 6) AS trust, round(d.score * (SELECT count(*) FROM h), 6) AS distrust FROM h JOIN t{ROUNDS} t USING (host) JOIN d{ROUNDS} d USING (host))")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, p.host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, NOT coalesce(bad OR (distrust >= {THRESHOLD} AND distrust > trust), false) AS allowed FROM p LEFT JOIN s ON p.host = s.host"
+        ctes.append(f"{name}0 AS (SELECT host, coalesce({seed}::INT::DOUBLE / nullif((SELECT count(*) FROM h WHERE {seed}), 0), 0) AS seed, host IN (SELECT src FROM {name}f) AS linked FROM h)")
+        # One table of what every host sends: along its edges or, if it has none, to the seeds; and to the seeds the rest of the damping.
+        ctes.append(f"{name}r AS (SELECT 0 AS k, host, seed AS score FROM {name}0 UNION ALL SELECT k, host, sum(score) FROM (SELECT r.k + 1 AS k, b.host, {1 - DAMPING} * b.seed AS score FROM {name}0 b, (SELECT DISTINCT k FROM {name}r) r UNION ALL SELECT r.k + 1, f.dst, {DAMPING} * f.share * r.score FROM {name}r r JOIN {name}f f ON r.host = f.src UNION ALL SELECT r.k + 1, b.host, {DAMPING} * b.seed * r.score FROM {name}r r JOIN {name}0 x ON r.host = x.host AND NOT x.linked JOIN {name}0 b ON b.seed > 0) WHERE k <= {rounds} GROUP BY k, host)")
+        ctes.append(f"{name} AS (SELECT host, score FROM {name}r WHERE k = {rounds})")
+    ctes.append("s AS (SELECT h.host, h.bad, round(t.score * (SELECT count(*) FROM h), 6) AS trust, round(d.score * (SELECT count(*) FROM h), 6) AS distrust FROM h JOIN t USING (host) JOIN d USING (host))")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT page_id, p.host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, NOT coalesce(bad OR (distrust >= {THRESHOLD} AND distrust > trust), false) AS allowed FROM p LEFT JOIN s ON p.host = s.host"
 
 
 QUERIES = {"op9_url_filter": op9_url_filter}
