@@ -11,6 +11,11 @@ stage's documents. All stages but the last return the columns of ``documents``.
 4. benchmark decontamination: documents that hold a benchmark item go.
 5. best-fit packing: what is left is packed into windows.
 
+Defined results of every stage are those of its operator: null, empty and blank texts
+and rows with a null doc_id pass all filtering stages (a document left empty by stage 2
+alone goes); repeated rows are one document in stages 2 and 3 and rows of their own in
+the others; extra columns of any name are passed through; an empty table gives no rows.
+
 ``ORACLE_SQL`` is None: the alignment of stage 4 and the search of stage 5 have no
 SQL; the tests hold each stage against a brute-force version.
 """
