@@ -149,7 +149,7 @@ def _profile(n: int, heavy: float):
                 yield out(0, ids[a:b], _set_hash(s, sizes), sizes, txt[a:b])
                 held.append(s)
                 docs, size, total = docs + b - a, size + len(s), total + b - a
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield frequent()
                     held, docs, size = [], 0, 0
         if held:
@@ -236,7 +236,7 @@ def _prefixes(n: int, t: float, heavy: np.ndarray, parts: int):
                 k = np.flatnonzero(keep & fresh[row])
                 held.append((s[k], ent[row[k]], sizes[row[k]], rest[row[k]]))
                 size += len(k)
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield packed()
                     held, size = [], 0
         if size:
@@ -273,7 +273,7 @@ def _mates(begin: np.ndarray, length: np.ndarray, who: np.ndarray, z: np.ndarray
     first, work = _starts(sorts), np.cumsum(sorts[of])
     a = 0
     while a < len(i):
-        b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + 2_000_000)))
+        b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + 500_000)))
         n = sorts[of[a:b]]
         k, m = _ranges(first[of[a:b]], n), np.repeat(i[a:b], n)
         ok = (odd[m] | sort_odd[k]) & (t * z[m] <= high[k] + 1e-9) & (t * low[k] <= z[m] + 1e-9)
@@ -394,7 +394,7 @@ def _pair_counts(list_begin: np.ndarray, length: np.ndarray, member: np.ndarray,
     for size in np.unique(length):
         runs = np.flatnonzero(length == size)
         x, y = np.triu_indices(int(size), 1)
-        step = max(1, 2_000_000 // len(x))
+        step = max(1, 500_000 // len(x))
         for r in range(0, len(runs), step):
             k = runs[r : r + step]
             own = list_begin[k, None]
