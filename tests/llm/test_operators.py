@@ -578,7 +578,8 @@ def test_pipeline(spark):
         assert state.columns == docs.columns
         after[name] = state
     ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
-    assert ids(docs) - ids(after["toxicity"]) == {r.doc_id for r in toxicity.toxicity(docs).collect()}
+    terms = toxicity.learned(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert ids(docs) - ids(after["toxicity"]) == {r.doc_id for r in toxicity.toxicity(docs, lexicon=terms).collect()}
     dead = runs_by_force([(r.doc_id, r.text) for r in after["toxicity"].where("text is not null").collect()], line_dedup.MIN_WORDS)
     for r in after["line_dedup"].collect():
         before = next(x.text for x in after["toxicity"].where(F.col("doc_id") == r.doc_id).collect()) if any(d == r.doc_id for d, _ in dead) else None
