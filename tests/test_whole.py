@@ -107,3 +107,24 @@ def test_contexts(spark, table):
     chi = np.where(under == 0, 0, total * (np.abs(both * d - b * c) - total / 2) ** 2 / np.where(under == 0, 1, under))
     assert edges("network_chi2_all") == pytest.approx(want(chi, chi >= 100), abs=1e-3)
     assert ("copied", "bound") in edges("network_conditional_all")
+
+
+def test_split_is_bounded(spark, monkeypatch):
+    """Tokens with spaces leave Python in batches of so many, and documents may be cut by them."""
+    import pyarrow as pa
+    from textloom.functions import text as T
+    from textloom.sources import texts
+
+    rows = [(k, "  one two,\nthree's 4.5 " * n) for k, n in enumerate([0, 1, 30, 2, 100])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in T.split(df, "text", False, None, None, size=7).collect():
+        got.setdefault(r.doc_id, []).append((r.sentence, r.token_id, r.token, r.space, r.start, r.end))
+    assert got == {d: list(T.split_text(t)) for d, t in rows if t}
+    sizes = []
+    take = pa.RecordBatch.from_arrays
+    df = type("Rows", (), {"columns": ["doc_id", "text"], "select": lambda *_: spark.createDataFrame([], "doc_id long"), "mapInArrow": lambda _, f, __: sizes.extend(b.num_rows for b in f(iter([take([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])])))})()
+    T.split(df, "text", False, None, None, size=50)
+    assert max(sizes) <= 50 < sum(sizes)
+    c = texts.from_texts(spark.createDataFrame(rows, "doc_id long, text string"), remember_spaces=True)
+    assert {r.doc_id: r.text for r in texts.untokenize(c).collect()} == {d: t.strip() for d, t in rows if t}
