@@ -128,3 +128,17 @@ def test_split_is_bounded(spark, monkeypatch):
     assert max(sizes) <= 50 < sum(sizes)
     c = texts.from_texts(spark.createDataFrame(rows, "doc_id long, text string"), remember_spaces=True)
     assert {r.doc_id: r.text for r in texts.untokenize(c).collect()} == {d: t.strip() for d, t in rows if t}
+
+
+def test_ego_has_no_bound(spark, tmp_path):
+    """A word in more than 600 documents has its network, as has one that is reached; one that is nowhere has none."""
+    texts = ["whst w1 w2 whst w5"] * 650 + ["w1 whst w7 w7 w2 whst", "x y"]
+    rows = [(d, t, "en", "x") for d, t in enumerate(texts)]
+    for name, some in (("full", rows), ("none", rows[-1:])):
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    edges = window_edges(rows, 2)
+    near = sorted((-n, y) for (x, y), n in edges.items() if x == "whst")[:10]
+    names = {"whst"} | {y for _, y in near}
+    got = registry.QUERIES["network_ego"](spark, f"{tmp_path}/full").collect()
+    assert {(r.src, r.dst): r.weight for r in got} == {e: n for e, n in edges.items() if set(e) <= names}
+    assert registry.QUERIES["network_ego"](spark, f"{tmp_path}/none").collect() == []
