@@ -142,3 +142,21 @@ def test_ego_has_no_bound(spark, tmp_path):
     got = registry.QUERIES["network_ego"](spark, f"{tmp_path}/full").collect()
     assert {(r.src, r.dst): r.weight for r in got} == {e: n for e, n in edges.items() if set(e) <= names}
     assert registry.QUERIES["network_ego"](spark, f"{tmp_path}/none").collect() == []
+
+
+def test_bounds_of_null_values(spark):
+    """Rows without a value don't meet in one task."""
+    from textloom.operators.preprocessing import bounded
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(old, ("false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        t = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "1 as token_id", "if(id % 100 < 3, concat('w', id % 100), null) as f", "id as x")
+        out = [r for r in bounded(t, "f", 2, None).selectExpr("*", "spark_partition_id() as part").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.f, r.x) for r in out if r.f) == [(k, f"w{k % 100}", k) for k in range(400) if k % 100 < 3] and len(out) == 400
+    parts = Counter(r.part for r in out if r.f is None)
+    assert max(parts.values()) < 200
