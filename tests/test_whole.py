@@ -160,3 +160,11 @@ def test_bounds_of_null_values(spark):
     assert sorted((r.doc_id, r.f, r.x) for r in out if r.f) == [(k, f"w{k % 100}", k) for k in range(400) if k % 100 < 3] and len(out) == 400
     parts = Counter(r.part for r in out if r.f is None)
     assert max(parts.values()) < 200
+
+
+def test_ngrams_are_partitioned_by_document(spark, table):
+    """The tokens are shuffled by document alone, not by document and null, which no later count could use."""
+    for name in ("trigrams", "preprocess_bigrams"):
+        df = registry.QUERIES[name](spark, table[0])
+        plan = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+        assert plan and not any("isnull" in x.split("hashpartitioning(")[1].split("ENSURE")[0] for x in plan)
