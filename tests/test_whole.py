@@ -168,3 +168,16 @@ def test_ngrams_are_partitioned_by_document(spark, table):
         df = registry.QUERIES[name](spark, table[0])
         plan = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
         assert plan and not any("isnull" in x.split("hashpartitioning(")[1].split("ENSURE")[0] for x in plan)
+
+
+def test_document_frequencies_are_counted_in_rows(spark, table):
+    """No shuffle of words by document, unless an id comes twice: then its rows are one document."""
+    from textloom.sources.texts import from_texts
+
+    c = from_texts(spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "b")], "doc_id long, text string"), words_only=True)
+    f = c.filter_freq("token", min=2, docs=True)
+    assert sorted(r.token for r in f.tokens.collect()) == ["b", "b", "b"]
+    assert "doc_id" not in f.tokens._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1].split("explode(array_distinct")[0].split("Aggregate [token")[1]
+    c = from_texts(spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "b")], "doc_id long, text string"), words_only=True)
+    assert sorted(r.token for r in c.filter_freq("token", min=2, docs=True).tokens.collect()) == ["b", "b"]
+    assert c.set("token", "upper(token)").words() is None
