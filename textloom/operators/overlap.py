@@ -29,5 +29,10 @@ def tag_ngrams(corpus: Corpus, column: str, ngrams: int | str, new_column: str |
 
 def add_tfidf(corpus: Corpus, feature: str = "feature", column: str = "tfidf") -> Corpus:
     """Adds to each token the tf-idf of its feature in its document, by shares; tokens without a feature go."""
+    m = corpus.counted(feature, positions=True) if corpus.is_plain else None
+    if m is not None:  # a word goes to its idf with its positions, and the tokens come from those
+        inverse = dtm.idf(corpus.counted(feature), dtm.number_of_contexts(corpus, ["doc_id"]))
+        t = m.join(inverse, "feature").select("doc_id", F.explode("where").alias("token_id"), F.col("feature").alias(feature), (F.col("n").cast("double") / F.col("total") * F.col("idf")).alias(column))
+        return Corpus(t, corpus.meta, corpus.model)
     m = dtm.dtm(corpus, feature, weight="norm_tfidf").select("doc_id", F.col("feature").alias(feature), F.col("value").alias(column))
     return Corpus(corpus.tokens.join(m, ["doc_id", feature]).select(*corpus.tokens.columns, column), corpus.meta, corpus.model)
