@@ -25,7 +25,9 @@ def _freq(corpus: Corpus, feature: str, what: str) -> DataFrame:
 def _compared(f: DataFrame, rows_x: DataFrame, rows_y: DataFrame, smooth: float, yates: str | bool, what: str, min_ratio: float | None, min_chi2: float | None) -> DataFrame:
     f = f.withColumn("freq", F.col("freq_x") + F.col("freq_y")).where("freq > 0")
     total = f.agg(F.sum("freq_x").alias("sx"), F.sum("freq_y").alias("sy"), F.count("*").alias("rows"))
-    f = f.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(rows_x)).crossJoin(F.broadcast(rows_y))
+    f = f.crossJoin(F.broadcast(total))
+    if what != "freq":
+        f = f.crossJoin(F.broadcast(rows_x)).crossJoin(F.broadcast(rows_y))
     if what == "freq":
         base = lambda s: F.col(s) + F.col("rows") * smooth
         px, py, notx, noty = (F.col("freq_x") + smooth) / base("sx"), (F.col("freq_y") + smooth) / base("sy"), F.col("sx") - F.col("freq_x"), F.col("sy") - F.col("freq_y")
@@ -78,11 +80,15 @@ def feature_associations(corpus: Corpus, query: str | None = None, hits: DataFra
     if subset is not None or subset_meta is not None:
         ok = corpus.flagged(subset, subset_meta)
         places = places.join(ok, ["doc_id", "token_id"], "left_semi")
-    marked = Corpus(t.join(places, ["doc_id", "token_id"], "left"), corpus.meta, corpus.model)
-    near = marked.subset("coalesce(__hit, false)", window=window)
+    inside = corpus.around(places, window, feature)
+    if inside is not None:
+        near = Corpus(inside, corpus.meta, corpus.model)
+    else:
+        marked = Corpus(t.join(places, ["doc_id", "token_id"], "left"), corpus.meta, corpus.model)
+        near = marked.subset("coalesce(__hit, false)", window=window)
     out = compare_corpus(near, corpus, feature, is_subset=True).where(F.col("freq_x") > min_freq)
     if not include_self:
-        own = t.join(places.drop("__hit"), ["doc_id", "token_id"], "left_semi").select(F.col(f"`{feature}`").cast("string").alias("feature")).distinct()
+        own = corpus.tokens_at(places.drop("__hit"), feature).select(F.col("feature").cast("string").alias("feature")).distinct()
         out = out.join(own, "feature", "left_anti")
     out = out.select("feature", F.col("freq_x").alias("freq"), F.col("freq_y").alias("freq_not"), "ratio", "chi2")
     return out.orderBy(F.desc(sort_by), "feature").limit(n)

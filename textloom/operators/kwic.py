@@ -32,8 +32,7 @@ def kwic(corpus: Corpus, hits: DataFrame | None = None, query: str | list[str] |
     label = h.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_id", "__f"))), lambda x: x["__f"]), " -> ").alias("feature"))
     spots = h.select(*key, F.col("token_id").alias("__k"), F.explode(F.sequence(F.col("token_id") - ntokens, F.col("token_id") + ntokens)).alias("token_id"))
     spots = spots.groupBy(*key, "token_id").agg(F.max((F.col("__k") == F.col("token_id")).cast("int")).alias("__kw"))
-    t = corpus.tokens.where(F.col(f"`{output_feature}`").isNotNull()).select("doc_id", "token_id", F.col(f"`{output_feature}`").cast("string").alias("__t"))
-    w = spots.join(t, ["doc_id", "token_id"])
+    w = corpus.tokens_at(spots, output_feature, "__t").where("__t is not null").withColumn("__t", F.col("__t").cast("string"))
     text = F.when(F.col("__kw") == 1, F.concat(F.lit(tags[0]), "__t", F.lit(tags[1]))).otherwise(F.col("__t"))
     gap = F.col("token_id") - F.lag("token_id").over(W.partitionBy(*key).orderBy("token_id")) > 1
     w = w.withColumn("__t", F.when(gap, F.concat(F.lit("[...] "), text)).otherwise(text))
