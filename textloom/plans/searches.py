@@ -81,7 +81,7 @@ def dictionary_hits(spark, sf):
 
 def dictionary_scores(spark, sf):
     """The sum of a dictionary's weights, each hit once, by document."""
-    c = dictionary.code_dictionary(documents(spark, sf), _DICT)
+    c = dictionary.code_dictionary(documents(spark, sf), _DICT, only_hits=True)
     return aggregate.aggregate(c, ["doc_id"], id="code_id", hits=F.count("*"), weight=F.sum("weight"))
 
 
