@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions import stats
 from textloom.operators import dictionary, network, overlap, preprocessing, present, search
 from textloom.plans._base import TOK, documents, rounded, turns
 from textloom.sources import tables, texts
@@ -129,10 +127,11 @@ def smoothed(spark, sf):
 
 
 def smoothed_in_languages(spark, sf):
-    """The same for each language, by a window over its words."""
-    c = documents(spark, sf)
-    f = c.tokens.join(c.meta.select("doc_id", "lang"), "doc_id").groupBy("lang", "token").agg(F.count("*").alias("freq"))
-    return rounded(f.select("lang", "token", stats.laplace(F.col("freq"), W.partitionBy("lang")).alias("p")), "p", places=9)
+    """The same for each language. The sums of the languages, which are few, are joined: a window would put all words of one in a task."""
+    f = documents(spark, sf).tokens_with("lang").groupBy("lang", "token").agg(F.count("*").alias("freq"))
+    whole = f.groupBy(F.col("lang").alias("of")).agg(F.sum(F.col("freq") + 0.5).alias("all"))
+    f = f.join(F.broadcast(whole), F.col("lang").eqNullSafe(F.col("of")))
+    return rounded(f.select("lang", "token", ((F.col("freq") + 0.5) / F.col("all")).alias("p")), "p", places=9)
 
 
 def turn_network(spark, sf):
