@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from textloom.corpus import Corpus
-from textloom.operators import compare, dictionary, dtm, kwic, overlap, search
+from textloom.operators import compare, dictionary, dtm, kwic, network, overlap, search, similarity
 from textloom.plans import registry
 
 TEXTS = ["b a b the end", "", "of the a a in the singing end", "a", "the the b of the ring in the in", "c b a"]
@@ -66,3 +66,35 @@ def test_places(corpus, make):
 def test_languages_without_window(spark):
     df = registry.QUERIES["smoothed_in_languages"](spark, "/root/testdata/sf0.001")
     assert "Window" not in plan(df) and "SortMergeJoin" not in plan(df)
+
+
+@pytest.mark.parametrize("bounds", [(2, 3), (None, 1), (4, None)])
+def test_document_frequencies(corpus, bounds):
+    c = corpus(TEXTS, words_only=True)
+    kept = c.filter_freq("token", *bounds, docs=True)
+    assert "Exchange" not in plan(kept.tokens)
+    assert rows(kept.tokens) == rows(plain(c).filter_freq("token", *bounds, docs=True).tokens) and kept.n() > 0
+
+
+@pytest.mark.parametrize("measure", ["chi2", "cosine", "con_prob", "count_directed"])
+def test_pairs_are_counted_by_numbers(corpus, measure):
+    c = corpus(TEXTS, words_only=True)
+    e = network.semnet(c, measure=measure).edges
+    assert "hashpartitioning(src" not in plan(e) and rows(e) == rows(network.semnet(plain(c), measure=measure).edges)
+
+
+def test_copies_are_not_compared(corpus, monkeypatch):
+    pairs, write = [], similarity.written
+
+    def keep(df, name):
+        df = write(df, name)
+        if name == "pairs":
+            pairs.append(df)
+        return df
+
+    monkeypatch.setattr(similarity, "written", keep)
+    texts = ["a b c d e"] * 30 + ["c b a e d", "f g h", "f g i", "j"]
+    left = similarity.deduplicate(corpus(texts, ids=[f"{k:02d}" for k in range(34)], words_only=True), similarity=0.9)
+    assert sorted(r[0] for r in left.meta.select("doc_id").collect()) == ["00", "31", "33"] and pairs[0].count() <= 1
+    last = similarity.duplicates(corpus(texts, ids=[f"{k:02d}" for k in range(34)], words_only=True), similarity=0.9, keep="last")
+    assert sorted(r[0] for r in last.collect()) == [f"{k:02d}" for k in (*range(30), 31)]
