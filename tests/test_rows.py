@@ -98,3 +98,18 @@ def test_copies_are_not_compared(corpus, monkeypatch):
     assert sorted(r[0] for r in left.meta.select("doc_id").collect()) == ["00", "31", "33"] and pairs[0].count() <= 1
     last = similarity.duplicates(corpus(texts, ids=[f"{k:02d}" for k in range(34)], words_only=True), similarity=0.9, keep="last")
     assert sorted(r[0] for r in last.collect()) == [f"{k:02d}" for k in (*range(30), 31)]
+
+
+def test_windows_are_counted_in_rows(corpus, monkeypatch):
+    """No position and no edge is shuffled; texts are cut between documents, and sums are made in steps."""
+    from textloom.operators import windows
+
+    for name in ("AT_ONCE", "A_TASK", "RECORDS", "ROWS"):
+        monkeypatch.setattr(windows, name, 4)
+    c = corpus([*TEXTS, "a a a a b", " ", "a"], words_only=True)
+    for size in (1, 3, 40):
+        net = network.semnet_window(c, measure="count_directed", window=size)
+        assert "Exchange" not in plan(net.edges) and rows(net.edges) == rows(network.semnet_window(plain(c), measure="count_directed", window=size).edges)
+        assert rows(net.vertices) == rows(network.semnet_window(plain(c), measure="count_directed", window=size).vertices)
+    none = network.semnet_window(corpus(["", "a"], words_only=True), measure="count_directed", window=2)
+    assert rows(none.edges) == []
