@@ -112,4 +112,16 @@ def test_windows_are_counted_in_rows(corpus, monkeypatch):
         assert "Exchange" not in plan(net.edges) and rows(net.edges) == rows(network.semnet_window(plain(c), measure="count_directed", window=size).edges)
         assert rows(net.vertices) == rows(network.semnet_window(plain(c), measure="count_directed", window=size).vertices)
     none = network.semnet_window(corpus(["", "a"], words_only=True), measure="count_directed", window=2)
-    assert rows(none.edges) == []
+    assert rows(none.edges) == [] and rows(network.backbone_filter(none, 0.5).edges) == []
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 1.1])
+def test_backbone_is_counted_in_rows(corpus, alpha):
+    """The sums of the words go to the packed counts, and no edge is shuffled."""
+    c = corpus(["the end of the ring"] * 9 + TEXTS + ["b a x y z a b end end ring"], words_only=True)
+    net = network.semnet_window(c, measure="count_directed", window=2)
+    e = network.backbone_filter(net, alpha, delete_isolates=False).edges
+    old = network.semnet_window(plain(c), measure="count_directed", window=2)
+    assert "Exchange" not in plan(e) and rows(e) == rows(network.backbone_filter(old, alpha).edges) and e.count() > 0
+    few = network.replace(net, edges=net.edges.where("src <> 'a'"))
+    assert rows(network.backbone_filter(few, alpha).edges) == rows(network.backbone_filter(network.replace(old, edges=old.edges.where("src <> 'a'")), alpha).edges)
