@@ -27,17 +27,39 @@ def words(text):
     return re.findall(r"\w+", text.lower())
 
 
-def test_overlap(spark, table):
-    folder, rows = table
+def overlaps(rows, least=1 / 3):
+    """Brute force: class, links, linked of each document."""
     sets = [set(words(t)) for _, t, _, _ in rows]
     want = {}
-    for a, _, la, sa in rows:
-        for b, _, lb, sb in rows:
-            share = len(sets[a] & sets[b]) / len(sets[a])
-            if a != b and (la, sa) == (lb, sb) and share >= 1 / 3:
-                want[a, b] = round(share, 6)
-    got = {(r.src, r.dst): r.weight for r in registry.QUERIES["overlap_by_language_all"](spark, folder).collect()}
-    assert got == pytest.approx(want) and any(rows[a][1] == COPY for a, _ in got)
+    for a, (doc, _, *ma) in enumerate(rows):
+        near = [b for b, (_, _, *mb) in enumerate(rows) if b != a and None not in ma and ma == mb and sets[a] & sets[b]]
+        links, linked = (sum(len(sets[a] & sets[b]) / len(sets[x]) >= least for b, x in ((b, b if back else a) for b in near)) for back in (0, 1))
+        want[doc] = (min([doc, *(rows[b][0] for b in near if sets[a] == sets[b])]), links, linked)
+    return want
+
+
+def test_overlap(spark, table):
+    folder, rows = table
+    got = {r.doc_id: (r["class"], r.links, r.linked) for r in registry.QUERIES["overlap_by_language_all"](spark, folder).collect()}
+    assert got == overlaps(rows) and any(c != d for d, (c, *_) in got.items())
+
+
+def test_overlap_of_blocks(spark, monkeypatch):
+    """Groups of many blocks, words of all frequencies, texts without words, documents without a language."""
+    from textloom.operators import links
+    from textloom.sources.texts import from_texts
+
+    for name, size in (("BLOCK", 7), ("STRIPE", 3), ("DENSE", 4), ("MEETINGS", 5)):
+        monkeypatch.setattr(links, name, size)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 12))) if x < 400) for _ in range(90)] + ["w1 w2", "w2 w1", "", " - ", "w1"]
+    rows = [(f"d{k:02d}", t, "en" if k % 9 else None, "x" if k % 4 else "y") for k, t in enumerate(texts)]
+    c = from_texts(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), words_only=True)
+    for least in (1 / 3, 0.6, 1.0):
+        got = {r.doc_id: (r["class"], r.links, r.linked) for r in links.overlap_links(c, meta_cols=["lang", "source"], min_similarity=least).collect()}
+        assert got == overlaps(rows, least)
+    other = c.set("token", "upper(token)")
+    assert {r.doc_id: (r["class"], r.links, r.linked) for r in links.overlap_links(other, min_similarity=0.6).collect()} == overlaps([(d, t, "", "") for d, t, *_ in rows], 0.6)
 
 
 def test_deduplicated(spark, table):
@@ -181,3 +203,27 @@ def test_document_frequencies_are_counted_in_rows(spark, table):
     c = from_texts(spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "b")], "doc_id long, text string"), words_only=True)
     assert sorted(r.token for r in c.filter_freq("token", min=2, docs=True).tokens.collect()) == ["b", "b"]
     assert c.set("token", "upper(token)").words() is None
+
+
+def test_meetings_are_counted(monkeypatch):
+    """Frequent words by matrices, others by rows, in stripes and steps; the numbers of rows come back from their bytes."""
+    import pyarrow as pa
+    from textloom.operators import links
+
+    for name, size in (("STRIPE", 3), ("DENSE", 4), ("MEETINGS", 5)):
+        monkeypatch.setattr(links, name, size)
+    rng = np.random.default_rng(3)
+
+    def some(n):
+        rows = [sorted({int(x) - 1 for x in rng.zipf(1.3, int(rng.integers(0, 15))) if x < 1 << 29}) for _ in range(n)]
+        starts = np.cumsum([0, *map(len, rows)])
+        raw, at = links.encoded(np.array([x for r in rows for x in r], np.int64), starts)
+        ids, found = links.decoded(pa.array([raw[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary()).slice(1))
+        assert [list(ids[a:z]) for a, z in zip(found, found[1:])] == rows[1:]
+        return rows[1:], (ids, found)
+
+    for n, k in ((11, 20), (20, 11), (2, 2), (30, 3)):
+        (ra, a), (rb, b) = some(n), some(k)
+        got = {first + i: list(row) for first, both in links.meetings(a, b) for i, row in enumerate(both)}
+        assert got == {i: [len(set(x) & set(y)) for y in rb] for i, x in enumerate(ra)}
+    assert [list(links.needed(np.arange(1, 8), f)) for f in (1 / 3, 1.0)] == [[1, 1, 1, 2, 2, 2, 3], [*range(1, 8)]]
