@@ -125,3 +125,14 @@ def test_backbone_is_counted_in_rows(corpus, alpha):
     assert "Exchange" not in plan(e) and rows(e) == rows(network.backbone_filter(old, alpha).edges) and e.count() > 0
     few = network.replace(net, edges=net.edges.where("src <> 'a'"))
     assert rows(network.backbone_filter(few, alpha).edges) == rows(network.backbone_filter(network.replace(old, edges=old.edges.where("src <> 'a'")), alpha).edges)
+
+
+def test_bags_are_made_once(corpus):
+    """The tokens aren't gathered again, the model reads written bags, and the topics don't depend on how they came."""
+    from textloom.operators import topics
+
+    c = corpus(TEXTS * 5, words_only=True)
+    made = [topics.lda(x, k=2, iterations=3, min_docfreq=2) for x in (c, plain(c))]
+    assert "Exchange" not in plan(made[0].bags) and "Generate" not in plan(made[0].bags)
+    assert made[0].bags.count() == sum(1 for t in TEXTS if t) * 5 and rows(made[0].terms(4)) == rows(made[1].terms(4))
+    assert made[0].documents().count() == 2 * made[0].bags.count()
